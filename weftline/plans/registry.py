@@ -1,0 +1,6 @@
+"""Every query of the library by name, with the SQL it must equal."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
