@@ -10,6 +10,7 @@ from weftline.llm.fuzzy_hash import op4_context_triggered_hashes
 from weftline.llm.html_text import op2_tag_path_text
 from weftline.llm.media_chunks import op10_content_defined_chunks
 from weftline.llm.mixing import op1_mix_sources
+from weftline.llm.packing import op6_grouping_genetic_packing
 from weftline.llm.sharding import op3_kd_tree_shards
 from weftline.llm.url_filter import ORACLE_OP5, op5_url_filter
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_kd_tree_shards,
         op4_context_triggered_hashes,
         op5_url_filter,
+        op6_grouping_genetic_packing,
         op10_content_defined_chunks,
     )
 }
