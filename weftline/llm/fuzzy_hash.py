@@ -128,12 +128,27 @@ def likeness(x: str, y: str) -> float:
     return 0.0
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compress texts for the way to their ranges."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        b["doc_id"] = b["doc_id"].astype("Int64")
+        yield b.assign(text=[pack(t.encode("utf-8", "surrogatepass")) for t in b["text"]])
+
+
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    read = lambda x: unpack(x).decode("utf-8", "surrogatepass")
     for b in batches:
         rows = []
         for i, tie, r, text, nxt in zip(b["doc_id"], b["_tie"], b["_range"], b["text"], b["next_text"], strict=True):
+            text = read(text)
             half = len(text) // 2
-            edited = text[: len(text) - half] + (nxt or "")[:half]
+            edited = text[: len(text) - half] + read(nxt)[:half]
             f, g = fingerprint(text), fingerprint(edited)
             rows.append((i, tie, r, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g)))
         out = pd.DataFrame(rows, columns=["doc_id", "_tie", "_range", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
@@ -178,6 +193,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last half replaced by the first half-length of the next document's text."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_tie"), _ranges(docs, id_col, range_rows).alias("_range"))
+    rows = rows.mapInPandas(_pack, "doc_id long, text binary, _tie long, _range int")
     rows = _with_next(rows, "text", "next_text").select("doc_id", "text", "next_text", "_tie", "_range")
     schema = "doc_id long, _tie long, _range int, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"
     prints = materialize(rows.mapInPandas(_prints, schema), "ctph")
