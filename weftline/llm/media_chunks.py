@@ -34,6 +34,9 @@ from weftline.llm.common import materialize, partitions, scratch_dir, shuffle_fi
 
 ROW = 64
 LEAST, MOST, BITS = 2048, 32768, 12
+#: Bytes of a chunk's SHA-256 that name it; the whole file's is checked in full.
+DIGEST = 16
+LEVEL = 9
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 _RATE = 8000
 #: References that one copy of a stored chunk serves; a chunk with more gets salted copies.
@@ -86,7 +89,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 def _pieces(media: bytes) -> Iterator[tuple[bytes, bytes]]:
     at = 0
     for end in gear_cuts(media):
-        yield hashlib.sha256(media[at:end]).digest()[:20], media[at:end]
+        yield hashlib.sha256(media[at:end]).digest()[:DIGEST], media[at:end]
         at = end
 
 
@@ -105,32 +108,50 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contents(dictionary: bytes):
     """Digest and compressed content of each chunk, once a batch."""
-    for b in batches:
-        rows, sent, weight = [], set(), 0
-        for text in b["text"]:
-            for digest, piece in _pieces(wav(payload_of(text)[0])):
-                if digest not in sent:
-                    sent.add(digest)
-                    rows.append((digest, packed(piece)))
-                    weight += len(rows[-1][1])
-            if weight > 8_000_000:
-                yield pd.DataFrame(rows, columns=["digest", "data"])
-                rows, weight = [], 0
-        yield pd.DataFrame(rows, columns=["digest", "data"])
-
-
-def packed(piece: bytes) -> bytes:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = _compressor(dictionary)
+        for b in batches:
+            rows, sent, weight = [], set(), 0
+            for text in b["text"]:
+                for digest, piece in _pieces(wav(payload_of(text)[0])):
+                    if digest not in sent:
+                        sent.add(digest)
+                        rows.append((digest, pack(piece)))
+                        weight += len(rows[-1][1])
+                if weight > 8_000_000:
+                    yield pd.DataFrame(rows, columns=["digest", "data"])
+                    rows, weight = [], 0
+            yield pd.DataFrame(rows, columns=["digest", "data"])
+
+    return run
+
+
+def _compressor(dictionary: bytes):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=6, write_checksum=False).compress(piece)
+    how = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, **how).compress
 
 
-def unpacked(data: bytes) -> bytes:
+def _decompressor(dictionary: bytes):
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {})).decompress
+
+
+def train_dictionary(texts: DataFrame, rows: int, size: int) -> bytes:
+    """A compression dictionary from the chunks of at most ``rows`` texts; empty if there are too few. It changes no result: any
+    dictionary gives every chunk back."""
+    import zstandard
+
+    chunks = [piece for r in texts.limit(rows).select(F.left("text", F.lit(8192)).alias("text")).collect() for _, piece in _pieces(wav(payload_of(r["text"])[0]))]
+    try:
+        return zstandard.train_dictionary(size, chunks).as_bytes() if len(chunks) >= 100 else b""
+    except zstandard.ZstdError:
+        return b""
 
 
 def features(samples: bytes) -> str:
@@ -142,36 +163,41 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.3f};rms={rms:.3f};crossings={crossings};peak={int(x.max())}"
 
 
-_FEATURES = ["whole", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_FEATURES = ["whole", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
 
 
-def _assemble(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _assemble(dictionary: bytes):
     """Chunks of a file come one after the other, in order of seq."""
-    parts: list[bytes] = []
-    for b in rows:
-        out = []
-        for whole, seq, n_seq, n_bytes, digest, data in zip(b["whole"], b["seq"], b["n_seq"], b["n_bytes"], b["digest"], b["data"], strict=True):
-            if seq == 0:
-                parts = []
-            piece = unpacked(data)
-            if seq != len(parts) or hashlib.sha256(piece).digest()[:20] != bytes(digest):
-                raise ValueError(f"chunk {seq} is not what was stored")
-            parts.append(piece)
-            if seq == n_seq - 1:
-                media, parts = b"".join(parts), []
-                if hashlib.sha256(media).digest() != bytes(whole):
-                    raise ValueError("a file was not read back as stored")
-                payload = wav_samples(media)
-                out.append((whole, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), bytes(whole).hex(), f"{features(payload)};chunks={n_seq}"))
-        if out:
-            yield pd.DataFrame(out, columns=_FEATURES)
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = _decompressor(dictionary)
+        parts: list[bytes] = []
+        for b in rows:
+            out = []
+            for whole, seq, n_seq, n_bytes, digest, data in zip(b["whole"], b["seq"], b["n_seq"], b["n_bytes"], b["digest"], b["data"], strict=True):
+                if seq == 0:
+                    parts = []
+                piece = unpack(data)
+                if seq != len(parts) or hashlib.sha256(piece).digest()[:DIGEST] != bytes(digest):
+                    raise ValueError(f"chunk {seq} is not what was stored")
+                parts.append(piece)
+                if seq == n_seq - 1:
+                    media, parts = b"".join(parts), []
+                    if hashlib.sha256(media).digest() != bytes(whole):
+                        raise ValueError("a file was not read back as stored")
+                    payload = wav_samples(media)
+                    out.append((whole, n_bytes, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-ROW:]), len(media), f"{features(payload)};chunks={n_seq}"))
+            if out:
+                yield pd.DataFrame(out, columns=_FEATURES)
+
+    return run
 
 
 class ChunkStore:
     """A table of distinct chunks, bucketed by digest, in the shared folder."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None):
-        self.spark, self.name = spark, name or f"weftline_chunks_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, dictionary: bytes = b"", name: str | None = None):
+        self.spark, self.dictionary, self.name = spark, dictionary, name or f"weftline_chunks_{uuid.uuid4().hex}"
 
     def write(self, contents: DataFrame) -> ChunkStore:
         n = partitions(self.spark)
@@ -196,25 +222,34 @@ def read_back(lists: DataFrame, store: ChunkStore) -> DataFrame:
     """One row of features per distinct file, from its chunks in the store."""
     files = materialize(lists.drop("doc_id").dropDuplicates(["whole", "seq"]), "media-files")
     hot = materialize(files.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_COPY).select("digest", F.ceil(F.col("n") / PER_COPY).cast("int").alias("copies")), "media-hot")
-    if n_hot := hot.count():
+    n_hot = hot.count()
+
+    def with_data(some: DataFrame) -> DataFrame:
+        if not n_hot:
+            return some.join(store.read(), "digest")
         few = small(hot, n_hot)
-        salted = files.join(few, "digest").withColumn("salt", F.pmod(F.xxhash64("whole", "seq"), F.col("copies")).cast("int"))
+        salted = some.join(few, "digest").withColumn("salt", F.pmod(F.xxhash64("whole", "seq"), F.col("copies")).cast("int"))
         copied = store.read().join(few, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        with_data = files.join(few, "digest", "left_anti").join(store.read(), "digest").unionByName(salted.join(copied.drop("copies"), ["digest", "salt"]).drop("copies", "salt"))
-    else:
-        with_data = files.join(store.read(), "digest")
-    ordered = with_data.select("whole", "seq", "n_seq", "n_bytes", "digest", "data").repartition("whole").sortWithinPartitions("whole", "seq")
-    return ordered.mapInPandas(_assemble, "whole binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        return some.join(few, "digest", "left_anti").join(store.read(), "digest").unionByName(salted.join(copied.drop("copies"), ["digest", "salt"]).drop("copies", "salt"))
+
+    cols = ["whole", "seq", "n_seq", "n_bytes", "digest", "data"]
+    alone = with_data(files.where("n_seq = 1")).select(*cols)  # one chunk is the file: nothing to bring together
+    parts = with_data(files.where("n_seq > 1")).select(*cols).repartition("whole").sortWithinPartitions("whole", "seq")
+    schema = "whole binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
+    return alone.mapInPandas(_assemble(store.dictionary), schema).unionByName(parts.mapInPandas(_assemble(store.dictionary), schema))
 
 
-def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dictionary_rows: int = 1000, dictionary_bytes: int = 112_640) -> DataFrame:
     """doc_id and what was read back of its media: sizes, digests and features."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     lists = materialize(src.mapInPandas(_lists, "whole binary, seq int, n_seq int, digest binary, n_bytes long, doc_id long"), "media-lists")
-    store = ChunkStore(docs.sparkSession).write(src.select("text").mapInPandas(_contents, "digest binary, data binary"))
+    store = ChunkStore(docs.sparkSession, train_dictionary(src, dictionary_rows, dictionary_bytes))
+    store.write(src.select("text").mapInPandas(_contents(store.dictionary), "digest binary, data binary"))
     with shuffle_files_dropped(docs.sparkSession):
         read = materialize(read_back(lists, store), "media-read")
-    return lists.where("seq = 0").select("doc_id", "whole").join(read, "whole").drop("whole")
+    hexed = lambda c: F.lower(F.hex(c))
+    out = lists.where("seq = 0").select("doc_id", "whole").join(read, "whole")
+    return out.select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("whole").alias("media_sha256"), "feature")
 
 
 def op10_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
