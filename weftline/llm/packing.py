@@ -31,16 +31,20 @@ ROUNDS = 2
 GENERATIONS = 6
 POPULATION = 4
 END = 0
-#: Pieces of text whose ids a worker remembers.
-MEMORY = 400_000
-#: A word of Latin letters that normalization leaves alone but for case, with ASCII marks after it: always two runs of their own.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
-_ODD = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b<]")
+#: Words whose ids a worker remembers.
+MEMORY = 800_000
+#: Letters that are letters to every library, in lower case and composed; with ASCII they make up the texts that are looked up.
+_LETTERS = "a-zß-öø-įı-ɏ"
+#: The tokenizer's own pre-tokens, for such texts.
+_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_OTHER = re.compile(f"[^\\t-\\r -~{_LETTERS}]|<\\|")
 
 
 class WordTokenizer:
-    """Token ids of a tokenizer whose pre-tokenizer never joins across white space: ids of white-space-free pieces are looked up,
-    and only pieces not seen before are encoded. Texts with characters on whose nature the libraries differ are encoded whole."""
+    """Token ids, pre-token by pre-token: those seen before are looked up, the others are encoded.
+
+    New words are encoded many in one text; the vocabulary marks a word's last token, which tells them apart again. Texts with
+    characters on whose nature libraries may differ, or with special tokens, are encoded whole."""
 
     def __init__(self, path: str):
         import os
@@ -49,44 +53,61 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        for token, n in self.tok.get_vocab().items():
+            self.last[n] = token.endswith("</w>")
+        self.runs: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, texts: list[str]) -> None:
-        """Put the ids of all white-space-free pieces of the texts into ``pieces``."""
-        if len(self.pieces) > MEMORY or len(self.runs) > MEMORY:
-            self.pieces, self.runs = {}, {"": b""}
-        new = set().union(*map(str.split, texts)) - self.pieces.keys()
-        split, runs = {}, set()
-        for p in new:
-            if m := _PLAIN.fullmatch(p):
-                split[p] = (m[1].lower(), m[2])
-                runs.update(split[p])
-            else:
-                runs.add(p)
-        todo = list(runs - self.runs.keys())
-        self.runs.update(zip(todo, self._encode(todo), strict=True))
-        for p in new:
-            self.pieces[p] = self.runs[split[p][0]] + self.runs[split[p][1]] if p in split else self.runs[p]
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self.runs.update(zip(part, self._encode(part), strict=True))
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.runs[word] = data[start:end]
+                start = end
+
+    def learn(self, new: set[str]) -> None:
+        words = [r for r in new if r[0].isalpha()]
+        rest = [r for r in new if not r[0].isalpha()]
+        self._learn_words(words)
+        self.runs.update(zip(rest, self._encode(rest), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            plain = [not _ODD.search(t) for t in part]
-            self.learn([t for t, p in zip(part, plain, strict=True) if p])
-            for t, p in zip(part, plain, strict=True):
-                yield b"".join(map(self.pieces.__getitem__, t.split())) if p else self._encode([t])[0]
+            part = [(t, None if _OTHER.search(low := t.lower()) or "İ" in t else _RUNS.findall(low)) for t in texts[at : at + 256]]
+            new = set().union(*[r for _, r in part if r is not None]).difference(self.runs)
+            if len(self.runs) > MEMORY:
+                self.runs, new = {}, set().union(*[r for _, r in part if r is not None])
+            self.learn(new)
+            get = self.runs.__getitem__
+            for t, r in part:
+                yield self._encode([t])[0] if r is None else b"".join(map(get, r))
+
+
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_for(path: str) -> WordTokenizer:
+    """This Python worker's tokenizer, with what it remembers from the tasks before."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
 
 
 def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and a row number of its own for each piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, step, end = WordTokenizer(tokenizer_path), 4 * capacity, np.uint32(END).tobytes()
+        tok, step, end = tokenizer_for(tokenizer_path), 4 * capacity, np.uint32(END).tobytes()
         for b in batches:
             docs_, piece, start, length, crc = [], [], [], [], []
             for doc, ids in zip(b["doc_id"], tok.ids(b["text"].tolist()), strict=True):
