@@ -15,7 +15,7 @@ _LITERAL = re.compile(
 )
 _CHAIN = r"(?:[A-Za-z_$][\w$]*(?:\s*(?:\?\.|\.|::)\s*(?:<[^<>()]*>|[A-Za-z_$][\w$]*)|\[[^\[\]()]*\])*)"
 _CALL = re.compile(rf"({_CHAIN})(?:::<[^<>()]*>|<[\w\s,<>]*>)?\s*\(")
-_WORDS = {"if", "while", "for", "match", "switch", "return", "catch", "function", "fn", "func", "in", "loop", "else", "typeof", "await", "new", "super", "constructor", "let", "const", "var", "and", "or", "not", "range", "select", "case", "go", "defer", "import", "synchronized", "try"}
+_WORDS = {"if", "while", "for", "match", "switch", "return", "catch", "function", "fn", "func", "in", "loop", "else", "typeof", "await", "new", "super", "constructor", "let", "const", "var", "import", "synchronized", "try"}
 
 
 def blank(text: str, lifetimes: bool = False) -> str:
@@ -192,6 +192,7 @@ class Java(LanguageAdapter):
     _TYPE = re.compile(_MOD + r"(?P<a>@)?\b(?P<k>class|enum|interface)\s+(?P<n>\w+)")
     _MEMBER = re.compile(r"(?<=[{};])\s*(?P<all>" + _MOD + r"(?:<[^>]*>\s*)?(?:(?P<t>[\w.]+(?:<[^;(){}]*>)?(?:\[\])*)\s+)?(?P<n>\w+)\s*(?P<x>\(|=|;|,))")
     _IMPORT = re.compile(r"\bimport\s+[^;]*;")
+    _NO_TYPE = ("return", "new", "throw", "else", "package", "import", "case", "assert", "yield")
 
     def symbols(self, text):
         masked = blank(text)
@@ -206,7 +207,7 @@ class Java(LanguageAdapter):
             start = m.start("all")
             at = m.end() - 1 if m["x"] == ";" else m.end()
             inside = [t for t in types if t.start < start < t.end]
-            if not inside or m["n"] in _WORDS or (m["t"] or "") in {"return", "new", "throw", "else", "package", "import", "case"}:
+            if not inside or m["n"] in _WORDS or m["t"] in self._NO_TYPE:
                 continue
             owner = min(inside, key=lambda t: t.end - t.start)
             if self._depth(masked, owner, start) != 1:
@@ -229,7 +230,7 @@ class Java(LanguageAdapter):
 
     def calls(self, text):
         masked = blank(text)
-        declared = {m.start("n") for m in self._MEMBER.finditer(masked) if m["t"] or m["n"][:1].isupper()}
+        declared = {m.start("n") for m in self._MEMBER.finditer(masked) if (m["t"] and m["t"] not in self._NO_TYPE) or (not m["t"] and m["n"][:1].isupper())}
         out = []
         for name, s, e in _calls(text, masked, declared):
             if not re.search(r"\bnew\s+$", masked[:s]) and not re.search(r"@$", masked[:s]):

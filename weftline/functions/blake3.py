@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of the specification.
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -83,7 +84,7 @@ def blake3_many(inputs: list[bytes]) -> list[str]:
     return [values[x[0]].astype("<u4").tobytes().hex() for x in nodes]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake3_hex(data: pd.Series) -> pd.Series:
     out: list[str | None] = [None] * len(data)
     there = [i for i, x in enumerate(data) if x is not None]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import BOUNDARY_KINDS, qualified_name
 
-FILE = Window.partitionBy("file_path")
 
 
 def boundary_symbols(symbols: DataFrame, line_base: str = "auto") -> DataFrame:
@@ -17,7 +16,7 @@ def boundary_symbols(symbols: DataFrame, line_base: str = "auto") -> DataFrame:
     if line_base == "zero":
         shift = F.lit(1)
     else:
-        shift = F.max(((F.col("start_line") == 0) | (F.col("end_line") == 0)).cast("int")).over(FILE)
+        shift = F.max(((F.col("start_line") == 0) | (F.col("end_line") == 0)).cast("int")).over(Window.partitionBy("file_path"))
     return kept.withColumn("shift", shift).withColumn("start_line", F.col("start_line") + F.col("shift")).withColumn("end_line", F.col("end_line") + F.col("shift")).drop("shift")
 
 
@@ -32,7 +31,7 @@ def normalize_symbols(symbols: DataFrame, language: Column | None = None) -> Dat
     many = F.count(F.lit(1)).over(same) > 1
     nth = F.row_number().over(same.orderBy("start_line", "end_line", "ord")) - 1
     return kept.select(
-        "id", "name", F.when(F.col("scope").isNotNull() | F.col("scope").isNull(), qualified_name(F.col("name"), F.col("scope"))).alias("qualified_name"), "kind", "file_path",
+        "id", "name", qualified_name(F.col("name"), F.col("scope")).alias("qualified_name"), "kind", "file_path",
         (F.lit(None).cast("string") if language is None else language).alias("language"), "start_line", "end_line", "signature", many.alias("is_overloaded"), F.when(many, nth).otherwise(0).alias("overload_index"),
     )
 
