@@ -77,7 +77,7 @@ def text_nodes(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            path = "/".join(x[0] for x in stack)
+            path = "/".join(x[0] for x in stack if x[0] not in _INLINE)  # inline marks belong to their block
             yield path, text, bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), block
         if not m:
             break

@@ -55,8 +55,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to ``budget`` as found, from below first.
 
-    Proportional shares, then one more of each length from the longest down, then more until no more than ``dp_words`` are open,
-    then a bounded knapsack (counts split into powers of two, reachable sums as the bits of one integer) over the rest."""
+    Proportional shares of all but the last words, then one more of each length from the longest down, then more until no more
+    than ``dp_words`` are open, then a bounded knapsack (counts split into powers of two, reachable sums as the bits of one
+    integer) over the rest. Where one document more, or one alone that is longer than the budget, comes nearer, it is taken."""
     order = np.argsort(-lengths, kind="stable")
     size, left = lengths[order].astype(object), counts[order].astype(object)
     total = int((size * left).sum()) if len(size) else 0
@@ -64,7 +65,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
     if total <= 0 or budget <= 0:
         return np.zeros(len(lengths), dtype=np.int64)
     for i in range(len(size)):
-        take[i] = left[i] * budget // total if size[i] else 0
+        take[i] = left[i] * (budget - min(budget, dp_words // 2)) // total if size[i] else 0
     left = left - take
     open_ = budget - int((size * take).sum())
     for most in (1, None):
@@ -95,7 +96,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
     over = [i for i in range(len(size)) if left[i] and size[i] and size[i] < 2 * open_]
     if over:
         i = min(over, key=lambda x: abs(size[x] - open_))
-        take[i] += 1
+        take[i], open_ = take[i] + 1, open_ - size[i]
+    longer = [i for i in range(len(size)) if counts[order[i]] and 0 <= size[i] - budget < abs(open_)]
+    if longer:
+        take[:] = 0
+        take[longer[-1]] = 1
     out = np.zeros(len(lengths), dtype=np.int64)
     out[order] = take.astype(np.int64)
     return out

@@ -91,7 +91,7 @@ def messages_to_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Mapping]] = SCHEMAS) -> DataFrame:
-    """conv_id, turn, step, call_id, name, error, result_turn and message (canonical JSON) of every call."""
+    """conv_id, turn, step, call_id, name, error, result_turn (-1 without a result) and message (canonical JSON) of every call."""
     calls, results = messages_to_calls(messages)
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "result")).alias("r"))
     where = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("at"))
@@ -106,7 +106,7 @@ def link_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Mapping]]
     )
     out = linked.withColumn("error", error)
     line = F.to_json(F.struct(F.col("arguments"), F.col("error"), F.col("call_id").alias("id"), F.col("name"), F.col("r.result").alias("result")), {"ignoreNullFields": "false"})
-    return out.select("conv_id", "turn", "step", "call_id", "name", "error", F.col("r.result_turn").alias("result_turn"), line.alias("message"))
+    return out.select("conv_id", "turn", "step", "call_id", "name", "error", F.coalesce("r.result_turn", F.lit(-1).cast("long")).alias("result_turn"), line.alias("message"))
 
 
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ j AS (
     CASE WHEN c.text IS NULL THEN 'missing prompt' WHEN c.text = '' THEN 'bad prompt' WHEN c.turn IS NULL THEN 'missing turn' WHEN c.turn < 0 THEN 'bad turn'
       WHEN c.turn >= 2 AND w.call_id IS NULL THEN 'no call ' || c.need WHEN r.call_id IS NULL THEN 'no result' END AS error
   FROM c LEFT JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id LEFT JOIN w ON c.conv_id = w.conv_id AND c.need = w.call_id)
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS step, call_id, 'respond' AS name, error, result_turn,
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS step, call_id, 'respond' AS name, error, coalesce(result_turn, -1) AS result_turn,
   '{"arguments":{"prompt":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '},"error":' || coalesce(CAST(to_json(error) AS VARCHAR), 'null')
   || ',"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"respond","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS message
 FROM j"""
