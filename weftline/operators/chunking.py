@@ -192,16 +192,17 @@ def overlap_chunks(files: DataFrame, chunks: DataFrame, n: int, kind: str = "bla
     return _finish(out)
 
 
-def leading_imports(all_lines: Column) -> Column:
-    """The imports before a file's first other line, each once, with the blank lines between."""
-    t = F.transform(all_lines, trim)
-    is_import = lambda x: F.startswith(x, F.lit("use ")) | F.startswith(x, F.lit("import "))
-    first = F.array_position(F.transform(t, is_import), F.lit(True))
-    tail = F.slice(t, F.greatest(first, F.lit(1)).cast("int"), F.size(t))
-    stop = F.array_position(F.transform(tail, lambda x: (x != "") & ~is_import(x)), F.lit(True))
-    body = F.when(stop > 0, F.slice(tail, F.lit(1), (stop - 1).cast("int"))).otherwise(tail)
-    once = F.filter(F.transform(body, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: (r["x"] == "") | (F.array_position(body, r["x"]) == r["i"] + 1))
-    return F.when(first > 0, F.transform(once, lambda r: r["x"])).otherwise(F.array().cast("array<string>"))
+#: The first import line of a file and the lines after it that are imports or blank.
+_IMPORT_BLOCK = r"(?dmU)^[^\S\n]*(?:use |import )[^\n]*(?:\n(?:[^\S\n]*(?:use |import )[^\n]*|[^\S\n]*(?=\n)|[^\S\n]+\z))*+"
+
+
+def leading_imports(text: Column) -> Column:
+    """The imports before a file's first other line, each once, with the blank lines between. One search takes the block out of the
+    text; only its few lines become arrays."""
+    block = F.regexp_extract(text, _IMPORT_BLOCK, 0)
+    body = F.transform(F.split(block, "\n", -1), trim)
+    once = F.filter(body, lambda x, i: (x == "") | (F.array_position(body, x) == i + 1))
+    return F.when(block != "", once).otherwise(F.array().cast("array<string>"))
 
 
 def context_chunks(files: DataFrame, chunks: DataFrame, symbols: DataFrame, kind: str = "blake3") -> DataFrame:
@@ -209,7 +210,7 @@ def context_chunks(files: DataFrame, chunks: DataFrame, symbols: DataFrame, kind
     found = symbol_index(symbols).where("scope is not null").select("file_path", F.col("id").alias("sid"), trim(F.col("scope")).alias("scope"))
     named = chunks.select("file_path", "id", "start_line", "end_line", F.explode(F.array_distinct(F.concat("symbol_ids", F.filter(F.array("symbol_id"), lambda x: x.isNotNull())))).alias("sid"))
     scopes = named.join(found, ["file_path", "sid"]).groupBy("file_path", "id", "start_line", "end_line").agg(F.sort_array(F.collect_set("scope")).alias("scopes"))
-    imports = files.select("file_path", leading_imports(lines(F.col("text"))).alias("imports"))
+    imports = files.select("file_path", leading_imports(F.col("text")).alias("imports"))
     c = chunks.join(imports, "file_path").join(scopes, ["file_path", "id", "start_line", "end_line"], "left").withColumn("scopes", F.coalesce("scopes", F.array().cast("array<string>")))
     scope_lines = F.transform("scopes", lambda s: F.concat(F.lit("scope: "), s))
     between = F.when((F.size("imports") > 0) & (F.size("scopes") > 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))

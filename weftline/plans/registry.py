@@ -131,7 +131,7 @@ def overlap_chunks(spark, sf_dir):
 
 @query(f"WITH {c.DOCUMENTS}, {c.HEADED} SELECT file_path, coalesce(array_to_string(l, '|'), '') AS imports, CAST(coalesce(len(l), 0) AS BIGINT) AS n FROM docs LEFT JOIN imports USING (file_path)")
 def leading_imports(spark, sf_dir):
-    i = chunking.leading_imports(lines(F.col("text")))
+    i = chunking.leading_imports(F.col("text"))
     return c.with_header(spark, sf_dir).select("file_path", i.alias("i")).select("file_path", F.array_join("i", "|").alias("imports"), F.size("i").cast(LONG).alias("n"))
 
 
