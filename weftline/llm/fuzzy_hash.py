@@ -1,15 +1,16 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over seven bytes cuts a text wherever it meets the block size's trigger; each piece becomes one letter of a
-signature, so an edit changes few letters. Block sizes double; the signature is kept at the smallest one that gives at most 64
-pieces and at the next, and two fingerprints are compared by edit distance at a block size that both have. Rolling hashes of a whole
+signature, so an edit changes few letters. Block sizes double; the length sets the one at which 33 to 64 pieces are expected, too few
+pieces the one below, and signatures are kept at that size and the next two. The 64th letter stands for all that follows. Two
+fingerprints are compared by edit distance at a block size that both have. Rolling hashes of a whole
 text are computed at once with numpy, pieces are hashed with CRC-32, and the edit distance runs bit-parallel.
 
 Every document is also compared with the next one in descending doc_id, which needs an order over all documents: they are dealt
 into ranges of doc_id whose bounds are approximate quantiles, ordered inside each, and the last of a range is joined to the first
 of the next non-empty one; no task sees more than a range.
 
-Defined results: a null text is empty; an empty text has the fingerprint ``1::``; equal texts, empty ones included, have likeness
+Defined results: a null text is empty; an empty text has the fingerprint ``1:::``; equal texts, empty ones included, have likeness
 1; repeated doc_ids are ordered by text hash and text; a single document is its own next; an empty table gives no rows; other
 input columns are not read.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize, table, text_of
 
 PIECES = 64
+#: Block sizes of a fingerprint.
+SIZES = 3
 WINDOW = 7
 #: Documents in a range of doc_id, about.
 RANGE_ROWS = 4000
@@ -59,23 +62,20 @@ def _signature(data: bytes, cuts: np.ndarray) -> str:
 
 
 def fingerprint(text: str) -> str:
-    """``block size:signature:signature at twice the block size``. Cuts at a size are among those at half of it."""
+    """``block size:signature:signature at twice:at four times the block size``. Cuts at a size are among those at half of it."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
-        return "1::"
+        return "1:::"
     h = rolling(data)
-    bits = max(0, (len(data) // PIECES).bit_length() - 1)
+    bits = ((len(data) - 1) // PIECES).bit_length()
     at = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0)
-    while len(at) >= PIECES:
-        bits += 1
-        at = at[(h[at] & np.uint32((1 << bits) - 1)) == 0]
-    while bits and len(at) < PIECES // 2:
-        finer = np.flatnonzero((h & np.uint32((1 << (bits - 1)) - 1)) == 0)
-        if len(finer) >= PIECES:
-            break
-        bits, at = bits - 1, finer
-    twice = at[(h[at] & np.uint32((2 << bits) - 1)) == 0]
-    return f"{1 << bits}:{_signature(data, at)}:{_signature(data, twice)}"
+    if bits and len(at) < PIECES // 2:
+        bits -= 1
+        at = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0)
+    parts = []
+    for up in range(SIZES):
+        parts.append(_signature(data, at[(h[at] & np.uint32((1 << bits + up) - 1)) == 0][: PIECES - 1]))
+    return f"{1 << bits}:" + ":".join(parts)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -117,15 +117,9 @@ def likeness(x: str, y: str) -> float:
     """0 to 1; 0 where no block size is common or no run of letters is."""
     if x == y:
         return 1.0
-    (s, a1, a2), (t, b1, b2) = x.split(":"), y.split(":")
+    (s, *a), (t, *b) = x.split(":"), y.split(":")
     s, t = int(s), int(t)
-    if s == t:
-        return max(_alike(a1, b1), _alike(a2, b2))
-    if s == 2 * t:
-        return _alike(a1, b2)
-    if t == 2 * s:
-        return _alike(a2, b1)
-    return 0.0
+    return max((_alike(p, q) for i, p in enumerate(a) for j, q in enumerate(b) if s << i == t << j), default=0.0)
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
