@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The files of ignore globs, themselves ignored.
 IGNORE_FILES = (".gitignore", ".crushignore")
 
 

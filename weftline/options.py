@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 STRATEGIES = ("SymbolBoundary", "SizeLimited", "LineLimited", "Semantic")
-#: Config files in the order in which they are looked for.
-CONFIG_FILES = ("rust_indexer.json", ".rust_indexer.json", "config.json")
+#: Config files in the order in which they are looked for; other names are a parameter of Config.load.
+CONFIG_FILES = ("weftline.json", ".weftline.json", "config.json")
 
 
 @dataclass(frozen=True)
@@ -80,12 +80,12 @@ class Config:
     max_queue_size: int = 100
 
     @classmethod
-    def load(cls, folder: str = ".", env: dict[str, str] | None = None) -> Config:
+    def load(cls, folder: str = ".", env: dict[str, str] | None = None, names: tuple[str, ...] = CONFIG_FILES) -> Config:
         """The first config file there is, else the environment, else the number of processors and 100."""
         env = os.environ if env is None else env
         number = lambda v, d: int(v) if str(v).isdigit() else d
         cpus = os.cpu_count() or 1
-        for name in CONFIG_FILES:
+        for name in names:
             if (p := Path(folder, name)).is_file():
                 got = json.loads(p.read_text())
                 return cls(number(got.get("max_concurrency"), cpus), number(got.get("max_queue_size"), 100))
