@@ -3,8 +3,9 @@
 A list of (host, path) keys is encoded without joins at query time: level 1 encodes the listed keys, level 2 those keys of the
 corpus that level 1 wrongly lets through, level 3 the listed keys that level 2 lets through, and so on until a level lets through
 none that it should not. A key of that universe is listed exactly if the first level that does not hold it is an even one. The
-universe is every key that any page of the corpus can ask for, so the answers are exact for the corpus. Levels are bit arrays sized
-by what they encode; their words enter the plan as literals, behind a check of their size (``max_bits``).
+universe is every key that any page of the corpus can ask for, so the answers are exact for the corpus. A level is sized by the keys
+that it encodes and the logarithm of those it must keep out, so the next holds about as many at most, however large the corpus;
+its words enter the plan as literals, behind a check of their size (``max_bits``).
 
 Defined results: a null url, or one without ``://``, has an empty host and path, matches nothing and is allowed; repeated pages
 give repeated rows; an empty table gives no rows; other input columns are not read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,10 @@ from weftline.llm.common import materialize, table
 
 #: The rules asked for: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-BITS_PER_KEY, HASHES = 16, 5
+#: A level lets through at most this part of the keys that it should not hold, and of many keys so few that the next level holds no more than it does.
+RATE = 1 / 32
 #: Above this a level is too large for a literal.
-MAX_BITS = 1 << 26
+MAX_BITS = 1 << 21
 
 
 def url_host(url: Column) -> Column:
@@ -43,33 +46,36 @@ class Level:
 
     seed: int
     bits: int
+    hashes: int
     words: list[int] = field(repr=False)
 
     def holds(self, key: Column) -> Column:
         array = F.array(*[F.lit(w).cast("long") for w in self.words])
         found = None
-        for position in _positions(key, self.seed, self.bits):
+        for position in _positions(key, self.seed, self.bits, self.hashes):
             word = F.element_at(array, (F.shiftright(position, 6) + 1).cast("int"))
             bit = F.getbit(word, (position % 64).cast("int")) == 1
             found = bit if found is None else found & bit
         return found
 
 
-def _positions(key: Column, seed: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(seed * HASHES + i), key), F.lit(bits)) for i in range(HASHES)]
+def _positions(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), F.lit(i), key), F.lit(bits)) for i in range(hashes)]
 
 
-def build_level(keys: DataFrame, seed: int, count: int, max_bits: int) -> Level:
-    """Encode the column ``key``; only the set bit positions, grouped into words, come to the driver."""
-    bits = max(64, -(-count * BITS_PER_KEY // 64) * 64)
+def build_level(keys: DataFrame, seed: int, count: int, others: int, max_bits: int) -> Level:
+    """Encode the column ``key`` of ``count`` rows, so as to let few of ``others`` keys through; only the set bit positions, grouped
+    into words, come to the driver. Half of the bits are set, so each hash halves what is let through, at 1 / ln 2 bits a key."""
+    hashes = ceil(-log2(min(RATE, count / max(others, 1))))
+    bits = ceil(max(1, count * hashes / log(2) / 64)) * 64
     if bits > max_bits:
         raise ValueError(f"a level of {count} keys needs {bits} bits; max_bits is {max_bits}")
-    position = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits))).alias("p"))
+    position = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits, hashes))).alias("p"))
     words = position.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("w")).collect()
     out = [0] * (bits // 64)
     for r in words:
         out[r["i"]] = r["w"]
-    return Level(seed, bits, out)
+    return Level(seed, bits, hashes, out)
 
 
 @dataclass
@@ -87,8 +93,8 @@ def build_cascade(universe: DataFrame, max_bits: int = MAX_BITS, seed: int = 1)
     """``universe``: one row per key with ``listed``. Each level is built from the keys that all levels before let through."""
     levels: list[Level] = []
     passing, listed = universe, True
-    while count := passing.where(F.col("listed") == listed).count():
-        levels.append(build_level(passing.where(F.col("listed") == listed), seed + len(levels), count, max_bits))
+    while count := (n := {r["listed"]: r["count"] for r in passing.groupBy("listed").count().collect()}).get(listed, 0):
+        levels.append(build_level(passing.where(F.col("listed") == listed), seed + len(levels), count, n.get(not listed, 0), max_bits))
         listed = not listed
         passing = passing.where((F.col("listed") != listed) | levels[-1].holds(F.col("key")))
     return Cascade(levels)
