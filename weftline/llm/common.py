@@ -7,11 +7,13 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows stay under this; the rows here are a few dozen bytes each.
 BROADCAST_ROWS = 20_000
+#: Rows of a range of :func:`sums_before`, at least.
+RANGE_ROWS = 1000
 
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
@@ -83,5 +85,27 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def named(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def sums_before(rows: DataFrame, n: int, order: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows``, about ``n``, plus for each of ``sums`` the sum over all rows before in ``order``, whose keys are added as columns.
+
+    The rows are dealt into ranges of the order and added up in each; between ranges only one row a range meets the others."""
+    ranges = max(1, min(partitions(rows.sparkSession), n // RANGE_ROWS))
+    dealt = rows.withColumns({**order, **{f"{k}_part": v for k, v in sums.items()}})
+    by = [F.col(k).asc_nulls_last() for k in order]
+    dealt = materialize(dealt.repartitionByRange(ranges, *by).withColumn("_wl_range", F.spark_partition_id()), "ranges")
+    whole = Window.orderBy("_wl_range")
+    totals = dealt.groupBy("_wl_range").agg(*[F.sum(f"{k}_part").alias(f"{k}_all") for k in sums])
+    starts = totals.select("_wl_range", *[(F.sum(f"{k}_all").over(whole) - F.col(f"{k}_all")).alias(f"{k}_start") for k in sums])
+    inside = Window.partitionBy("_wl_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(starts), "_wl_range")  # as many rows as ranges
+    out = out.withColumns({k: F.col(f"{k}_start") + F.coalesce(F.sum(f"{k}_part").over(inside), F.lit(0)) for k in sums})
+    return out.drop("_wl_range", *[f"{k}_{x}" for k in sums for x in ("part", "start")])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, materialize, table, text_of
+from weftline.llm.common import discard, materialize, named, table, text_of
 from weftline.llm.components import components
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ STEP = 30
 #: A pair is dropped when its similarity reaches the threshold with less than this probability.
 TOLERANCE = 1e-5
 BUCKET = 32
+#: What parts words, as str.split has it.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 BLOCK = 512
 #: A list of (id, key) rows is broadcast up to this many of them.
 LISTED = 100_000
@@ -123,7 +125,7 @@ def reaches(common: np.ndarray | int, union: np.ndarray | int, threshold: float
 
 def text_key(text: Column) -> Column:
     """128 bits that tell texts apart: lower case, words joined by single spaces."""
-    return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))))
+    return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(text), SPACE, " "))))
 
 
 def _id(col: str) -> Column:
@@ -293,4 +295,4 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = classes.select(F.col("class_id").alias("_wl_id"), F.col("class_key").alias("_wl_key"))
     rows = docs.withColumn("_wl_id", _id("doc_id")).withColumn("_wl_key", text_key(text_of("text")))
     nth = F.row_number().over(Window.partitionBy("_wl_id", "_wl_key").orderBy(F.lit(0)))
-    return rows.join(kept, ["_wl_id", "_wl_key"]).withColumn("_wl_nth", nth).where("_wl_nth = 1").select(*docs.columns)
+    return rows.join(kept, ["_wl_id", "_wl_key"]).withColumn("_wl_nth", nth).where("_wl_nth = 1").select(*named(docs.columns))

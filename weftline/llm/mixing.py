@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, small, table, text_of
+from weftline.llm.common import materialize, named, small, sums_before, table, text_of
 
 #: Words: runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,22 +34,21 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
-    """Targets from one row per source (_wl_key, _wl_order, _wl_total): shares by weight, stopped at ``cap`` times the source's
-    size with the excess reshared by weight. The fixed point of that resharing is min(cap * size, level * weight) for the one
-    level at which the targets add up to all words, found by running sums over sources in the order of cap * size / weight."""
-    order = Window.orderBy(F.col("_wl_order").asc_nulls_last())
-    fill = Window.orderBy("_wl_ratio", "_wl_key")
-    before, rest, everywhere = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("_wl_weight", weight).withColumn("_wl_cap", F.col("_wl_total") * cap)
-    t = t.withColumn("_wl_ratio", F.col("_wl_cap") / F.col("_wl_weight"))
-    level = (F.sum("_wl_total").over(everywhere) - F.coalesce(F.sum("_wl_cap").over(before), F.lit(0))) / F.sum("_wl_weight").over(rest)
-    t = t.withColumn("_wl_level", level)
-    first = F.min(F.when(F.col("_wl_level") <= F.col("_wl_ratio"), F.struct("_wl_ratio", "_wl_key", "_wl_level"))).over(everywhere)
-    t = t.withColumn("_wl_level", first["_wl_level"])
-    target = F.least(F.col("_wl_cap").cast("double"), F.col("_wl_level") * F.col("_wl_weight"))
-    return t.select("_wl_key", "_wl_total", F.coalesce(target, F.col("_wl_cap").cast("double")).alias("_wl_target"))
+def source_targets(sizes: DataFrame, n: int, weights: Sequence[int], cap: int) -> DataFrame:
+    """Targets from one row per source (_wl_key, _wl_order, _wl_total), ``n`` in all: shares by weight, stopped at ``cap`` times the
+    source's size with the excess reshared by weight. The fixed point of that resharing is min(cap * size, level * weight) for the
+    one level at which the targets add up to all words, found by running sums over sources in the order of cap * size / weight."""
+    t = sums_before(sizes, n, {"_wl_order": F.col("_wl_order")}, {"_wl_nth": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_wl_nth") % len(weights) + 1).cast("int"))
+    t = t.withColumn("_wl_weight", weight).withColumn("_wl_cap", F.col("_wl_total") * cap)
+    t = sums_before(t, n, {"_wl_ratio": F.col("_wl_cap") / F.col("_wl_weight"), "_wl_key": F.col("_wl_key")}, {"_wl_full": F.col("_wl_cap"), "_wl_done": F.col("_wl_weight")})
+    t = materialize(t, "mix-sources")
+    words, shares = t.agg(F.sum("_wl_total"), F.sum("_wl_weight")).first()
+    level = (F.lit(words) - F.col("_wl_full")) / (F.lit(shares) - F.col("_wl_done"))
+    at = t.select("_wl_ratio", "_wl_key", level.alias("_wl_level")).where("_wl_level <= _wl_ratio").agg(F.min(F.struct("_wl_ratio", "_wl_key", "_wl_level")).alias("x")).first()["x"]
+    full = F.col("_wl_cap").cast("double")
+    target = F.least(full, F.lit(at["_wl_level"]) * F.col("_wl_weight")) if at else full
+    return t.select("_wl_key", "_wl_total", target.alias("_wl_target"))
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
@@ -116,19 +115,17 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_wl_key": pdf["_wl_key"], "_wl_size": pdf["_wl_size"], "_wl_total": total, "_wl_target": target, "_wl_whole": whole, "_wl_more": more})
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
-    """All rows of ``docs`` plus size, source_size, target, copies (how often the mix takes the document) and taken (copies * size).
-
-    ``size_col`` names a column that already has the sizes. No document is taken more than ``cap`` times."""
+def _mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
+    """``docs`` plus _wl_size, _wl_total, _wl_target and _wl_copies, among other internal columns."""
     size = F.col(size_col).cast("long") if size_col else n_words(text_of(text_col))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     base = docs.withColumns({"_wl_size": size, "_wl_key": key, "_wl_hash": F.xxhash64(F.lit(seed), F.col(id_col))})
     base = base.withColumn("_wl_bucket", F.pmod("_wl_hash", F.lit(BUCKETS)))
     counted = materialize(base.groupBy("_wl_key", F.col(source_col).alias("_wl_order"), "_wl_size", "_wl_bucket").agg(F.count(F.lit(1)).alias("_wl_n")), "mix-counts")
     lengths = counted.groupBy("_wl_key", "_wl_order", "_wl_size").agg(F.sum("_wl_n").alias("_wl_n"))
-    sources = lengths.groupBy("_wl_key", "_wl_order").agg(F.sum(F.col("_wl_size") * F.col("_wl_n")).alias("_wl_total"))
+    sources = materialize(lengths.groupBy("_wl_key", "_wl_order").agg(F.sum(F.col("_wl_size") * F.col("_wl_n")).alias("_wl_total")), "mix-totals")
     n_sources = sources.count()
-    with_target = lengths.select("_wl_key", "_wl_size", "_wl_n").join(small(source_targets(sources, weights, cap), n_sources), "_wl_key")
+    with_target = lengths.select("_wl_key", "_wl_size", "_wl_n").join(small(source_targets(sources, n_sources, weights, cap), n_sources), "_wl_key")
     schema = "_wl_key string, _wl_size long, _wl_total long, _wl_target double, _wl_whole long, _wl_more long"
     fitted = materialize(with_target.groupBy("_wl_key").applyInPandas(_fit, schema), "mix-fit")
     running = Window.partitionBy("_wl_key", "_wl_size").orderBy("_wl_bucket")
@@ -141,9 +138,17 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     rank = F.row_number().over(Window.partitionBy("_wl_key", "_wl_size", "_wl_bucket").orderBy("_wl_hash", id_col))
     copies = F.col("_wl_whole") + F.when(F.col("_wl_rank") <= F.col("_wl_quota"), 1).otherwise(0)
-    chosen = base.withColumn("_wl_rank", rank).join(quota, ["_wl_key", "_wl_size", "_wl_bucket"]).withColumn("_wl_copies", F.when(F.col("_wl_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+    ranked = base.withColumn("_wl_rank", rank).join(quota, ["_wl_key", "_wl_size", "_wl_bucket"])
+    return ranked.withColumn("_wl_copies", F.when(F.col("_wl_size") > 0, copies).otherwise(F.lit(0)).cast("long"))
+
+
+def mix_sources(docs: DataFrame, **how) -> DataFrame:
+    """All rows of ``docs`` plus size, source_size, target, copies (how often the mix takes the document) and taken (copies * size).
+
+    ``id_col``, ``text_col`` and ``source_col`` name the columns; ``size_col`` one that already has the sizes; ``weights`` repeat
+    over the sources in order; no document is taken more than ``cap`` times; ``seed`` orders documents of one length."""
     new = {"size": F.col("_wl_size"), "source_size": F.col("_wl_total"), "target": F.col("_wl_target"), "copies": F.col("_wl_copies"), "taken": F.col("_wl_copies") * F.col("_wl_size")}
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    return _mixed(docs, **how).select(*named([c for c in docs.columns if c.lower() not in new]), *[v.alias(k) for k, v in new.items()])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +159,6 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it."""
-    mixed = mix_sources(docs)
-    return mixed.where("copies > 0").withColumn("_wl_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Pipeline stage: every document as often as the mix takes it, all its columns as they were."""
+    taken = _mixed(docs).where("_wl_copies > 0").withColumn("_wl_copy", F.explode(F.sequence(F.lit(1), F.col("_wl_copies"))))
+    return taken.select(*named(docs.columns))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, small, table, text_of
+from weftline.llm.common import materialize, named, small, table, text_of
 
 #: At most this many labelled documents train the classifier.
 TRAIN_ROWS = 20_000
@@ -136,4 +136,4 @@ def op9_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
-    return classify(docs, table(spark, sf_dir, "labels")).where("_wl_keep").select(*docs.columns)
+    return classify(docs, table(spark, sf_dir, "labels")).where("_wl_keep").select(*named(docs.columns))
