@@ -41,6 +41,7 @@ def docs(spark, words):
             w[rng.randrange(len(w))] = rng.choice(words)
         out.append((300 + i, " ".join(w), "de", "s0"))
     out += [(500, None, None, None), (501, "", "en", None), (502, "", "en", "s1"), (503, "x" * 90_000, "en", "s2"), (504, text(30_000), "fr", "s2"), (None, "no id " + text(9), "en", "s3")]
+    out += [(506, "\xa0 \u2003", "en", "s1")]
     out += [out[0], out[0], (505, "één\t “ﬁne” <|endoftext|> it's 12\n\n", "fr", "s1")]
     return spark.createDataFrame(rows_of(out), DOC).repartition(3).cache()
 
@@ -82,6 +83,22 @@ def test_mixing(docs, empty):
     again = {(r["doc_id"], r["text"]): r["taken"] for r in local(mixing.mix_sources(docs)) if r["doc_id"] != 0}
     assert all(again[r["doc_id"], r["text"]] == r["taken"] for r in got if r["doc_id"] != 0)
     assert mixing.mix_sources(empty).count() == 0
+    odd = docs.withColumnRenamed("hash", "a.b").limit(50)
+    staged = mixing.mixing_stage(docs.sparkSession, odd, DATA)
+    assert staged.columns == odd.columns and {r["copies"] for r in local(staged)} == {1} and {r["size"] for r in local(staged)} == {"s"}
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than a range of the running sums holds, of few different sizes."""
+    sizes = [i % 7 for i in range(4500)]
+    docs = spark.createDataFrame([(i, "w " * n, f"{i:05}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(3 * n, level * (i % 3 + 1)) for i, n in enumerate(sizes)) < sum(sizes) else (lo, level)
+    for r in local(mixing.mix_sources(docs)):
+        assert r["size"] == sizes[r["doc_id"]] and r["target"] == pytest.approx(min(3 * r["size"], hi * (r["doc_id"] % 3 + 1)))
+        assert abs(r["taken"] - r["target"]) <= max(1, r["size"])
 
 
 def test_fit_budget_is_a_subset_sum():
