@@ -34,8 +34,8 @@ STEP = 30
 #: A pair is dropped when its similarity reaches the threshold with less than this probability.
 TOLERANCE = 1e-5
 BUCKET = 32
-#: What parts words, as str.split has it.
-SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: A character of a word, as str.split has it; the first one found ends the search.
+IN_WORD = r"[^\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 BLOCK = 512
 #: A list of (id, key) rows is broadcast up to this many of them.
 LISTED = 100_000
@@ -125,7 +125,8 @@ def reaches(common: np.ndarray | int, union: np.ndarray | int, threshold: float
 
 def text_key(text: Column) -> Column:
     """128 bits that tell texts apart: lower case, words joined by single spaces."""
-    return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(text), SPACE, " "))))
+    joined = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.unhex(F.md5(F.when(text.rlike(IN_WORD), joined).otherwise("")))
 
 
 def _id(col: str) -> Column:
