@@ -175,6 +175,19 @@ def test_html(frame):
         assert got == "Title & more " + body
 
 
+PROSE = "<p>" + "The first sentence of a paragraph has words, marks, and more words; it reads on, as prose does. " * 4 + "</p>"
+SAID = PROSE[3:-4].strip()
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_scores_framed_pages(tag):
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    page = f"<body><{tag}><h1>Title</h1>{menu}{PROSE}<div>Buy shoes now</div><pre>x = 1</pre>{PROSE}<h3>Related</h3>{menu}<div><p>Nice post</p></div></{tag}></body>"
+    assert html_text.extract_main_text(page) == f"Title {SAID} x = 1 {SAID}"
+    whole = f"<body><{tag}><header><h1>Title</h1><div>By me</div></header><h2>Points</h2><ul><li>one<li>two</ul>{PROSE}<div><pre>y = 2</pre></div><table><caption>Cap</caption><tr><td>1<td>2</table></{tag}></body>"
+    assert html_text.extract_main_text(whole) == f"Title By me Points one two {SAID} y = 2 Cap 1 2"
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", "<p>" * 500 + "deep"), (5, "u", "<article>a" + " b" * 50_000), (3, "u", "plain text only")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

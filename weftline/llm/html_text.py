@@ -1,11 +1,14 @@
 """HTML extraction by tag-path ratios.
 
-A page is read once into text nodes, each with its root-to-leaf tag path. Per path the lengths, punctuation marks and nodes are
-added up; a path's text ratio (characters a node) and punctuation ratio (marks a node) are multiplied into one score, scores are
-smoothed along the page with a short Gaussian window over neighbouring nodes, and a path is content when its smoothed score
-reaches a threshold below the page's own weighted mean. What the markup itself says decides first: text within navigation, headers outside
-the article, footers, sidebars, forms, scripts and elements whose class, id or role names a menu, notice, advert or comments is
-never content, and inside ``article`` or ``main`` every other node is. The ratios decide pages without such a frame.
+A page is read once into text nodes, each with its root-to-leaf tag path; nodes of one block are one. Per path the lengths outside
+links, punctuation marks and blocks are added up; a path's text ratio (characters a block) and punctuation ratio (marks a block) are
+multiplied into one score, scores are smoothed along the page with a short Gaussian window over neighbouring blocks, and a path is
+content when its smoothed score reaches a threshold below the page's own weighted mean. That holds for every page. What the markup
+says is fused in: text within navigation, headers outside the article, footers, sidebars, forms, scripts and elements whose class, id
+or role names a menu, notice, advert or comments is not scored; ``article`` or ``main`` bounds what is, and lifts what stands alone in
+it; lists of links are menus. Short blocks beside content inside the frame (titles, items, cells, captions) stay. A short text of an
+element that says nothing of it (``div``) and holds no content is taken for an advert; long prose of an advert or of readers is
+not told from the article's without a name.
 
 Defined results: a null or empty html gives an empty text; unclosed and crossed tags are tolerated; very long pages are read
 whole, in one pass; repeated rows give repeated results; an empty table gives no rows; other columns are carried only on request.
@@ -29,14 +32,24 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x0
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "audio", "video", "canvas", "object", "map", "fieldset", "datalist"} | _RAW
+_NEVER = {"button", "select", "option", "head", "audio", "video", "canvas", "object", "map", "datalist"} | _RAW
+_ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _FRAME = {"article", "main"}
+_PAGE = {"html", "body", "article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_LISTS = {"ul", "ol", "dl", "table"}
+#: Elements of running text: short ones beside content belong to it.
+_TEXT = _INLINE | _HEADINGS | _LISTS | {"p", "li", "dt", "dd", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "figure", "figcaption", "blockquote", "pre", "header", "hgroup", "address", "details", "summary", "center"}
 #: What class, id and role say of boilerplate, as whole words of the attribute.
 _HINTS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie",
     "cookies", "discussion", "disqus", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "popup", "promo", "promoted",
     "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "alert", "responses", "feedback", "login", "signup", "widget",
 }
+#: Of these, the words of readers' comments.
+_COMMENTS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "responses"}
+#: Elements that say what their text is.
+_TYPED = _HEADINGS | {"li", "dt", "dd", "caption", "td", "th", "figcaption", "blockquote", "pre", "address", "summary"}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -48,23 +61,57 @@ _CLOSES_P = _SECTION - {"html", "body", "td", "tr", "th", "li", "dd", "dt"} | {"
 _SIBLING = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "tr": ("tr", {"table", "tbody", "thead"}), "td": ("td", {"tr"}), "th": ("th", {"tr"}), "option": ("option", {"select"})}
 _SPREAD = 1.0
 _PART = 0.5
+#: Of a group's characters, how many in links make it a menu.
+_LINKED = 0.6
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in _NEVER:
-        return True
-    if not attrs:
-        return False
+def _named(tag: str, attrs: str) -> int:
+    """0, or what class, id and role say: 1 boilerplate, 2 readers' comments."""
+    found = 0
     for m in _ATTR.finditer(attrs):
+        if m[1].lower() == "id" and tag in _HEADINGS:
+            continue  # an anchor, not a name
         value = m[2] or m[3] or m[4] or ""
-        if any(w.lower() in _HINTS for part in re.split(r"[\s_-]+", value) for w in (part, *_WORD.findall(part))):
-            return tag not in ("html", "body", "article", "main")
-    return bool(_HIDDEN.search(attrs)) and tag not in ("html", "body")
+        for part in re.split(r"[\s_-]+", value):
+            for w in (part, *_WORD.findall(part)):
+                if w.lower() in _HINTS:
+                    found = max(found, 2 if w.lower() in _COMMENTS else 1)
+    return found
 
 
-def text_nodes(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
-    """(tag path, text, within boilerplate, within article or main, block number) of each text node, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, frame; both inherited
+class _Page:
+    """A page's elements, parents before children, and its text nodes; element 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.tag, self.parent, self.path = [""], [0], [0]
+        self.mark, self.never, self.link = [0], [False], [False]
+        self.nodes: list[tuple[int, str, int]] = []  # element, text, block number
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, tag: str, attrs: str) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        inline = tag in _INLINE  # inline marks belong to their block
+        self.path.append(self.path[parent] if inline else self._paths.setdefault((self.path[parent], tag), len(self._paths) + 1))
+        named = _named(tag, attrs) if attrs else 0
+        self.mark.append(named or int(tag in _ASIDE))
+        hidden = bool(attrs and _HIDDEN.search(attrs)) and tag not in ("html", "body")
+        self.never.append(self.never[parent] or tag in _NEVER or hidden)
+        self.link.append(self.link[parent] or tag == "a")
+        return len(self.tag) - 1
+
+    def under(self, own: list) -> list:
+        """Sums of ``own`` over each element and all below it."""
+        total = list(own)
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+
+def read_page(page: str) -> _Page:
+    """One pass over the page; what no reader sees (scripts, hidden elements, controls) gives no text node."""
+    out = _Page()
+    stack: list[tuple[str, int]] = []  # tag, element
     at = block = 0
     raw = ""
     low = None
@@ -77,8 +124,9 @@ def text_nodes(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            path = "/".join(x[0] for x in stack if x[0] not in _INLINE)  # inline marks belong to their block
-            yield path, text, bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), block
+            here = stack[-1][1] if stack else 0
+            if not out.never[here]:
+                out.nodes.append((here, _html.unescape(text), block))
         if not m:
             break
         at = m.end()
@@ -115,49 +163,164 @@ def text_nodes(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
         attrs = m[3] or ""
         if attrs.rstrip().endswith("/") and tag in ("svg", "math"):
             continue
-        frame = bool(stack and stack[-1][2]) or tag in _FRAME
-        bad = bool(stack and stack[-1][1]) or _boilerplate(tag, attrs) or tag == "header" and not frame
-        stack.append((tag, bad, frame))
+        stack.append((tag, out.add(stack[-1][1] if stack else 0, tag, attrs)))
         if tag in _RAW:
             raw = tag
+    return out
+
+
+def _boilerplate(p: _Page, chars: list[int]) -> list[bool]:
+    """Which elements the markup makes boilerplate."""
+    n, up, tag = len(p.tag), p.parent, p.tag
+    framed = [False] * n
+    bad = [False] * n
+    for e in range(1, n):
+        framed[e] = framed[up[e]] or tag[e] in _FRAME
+        marked = p.mark[e] or tag[e] == "header" and not framed[e]
+        bad[e] = bad[up[e]] or bool(marked) and tag[e] not in _PAGE
+    return bad
+
+
+def _frame(p: _Page, bad: list[bool], chars: list[int], full: list[int]) -> list[bool]:
+    """Which elements lie in the page's ``main`` or ``article``: a feature of their paths, and a bound where the page means it so:
+    a ``main``, one only ``article``, or articles with a third of the text. Cards of other pages bound nothing."""
+    n, up = len(p.tag), p.parent
+    inside, outer = [False] * n, []
+    for e in range(1, n):
+        inside[e] = not bad[e] and (inside[up[e]] or p.tag[e] in _FRAME)
+        if inside[e] and not inside[up[e]] and full[e]:
+            outer.append(e)
+    held = sum(full[e] for e in outer)
+    clean = sum(c for c, b in zip(chars, bad, strict=True) if not b)
+    return inside if len(outer) == 1 or any(p.tag[e] == "main" for e in outer) or held * 3 >= clean else [False] * n
+
+
+def _core(p: _Page, blocks: list[list], inside: list[bool]) -> list[bool]:
+    """Which blocks the ratios of their paths make content. A block is [element, text, characters, of these in links]."""
+    plain: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    count: dict[int, int] = defaultdict(int)
+    for e, text, size, linked in blocks:
+        path = p.path[e]
+        plain[path] += size - linked
+        marks[path] += len(_PUNCT.findall(text)) if linked < size else 0
+        count[path] += 1
+    fused = {x: plain[x] / count[x] * (1 + marks[x] / count[x]) for x in plain}
+    own = [fused[p.path[b[0]]] for b in blocks]
+    window = [exp(-(d * d) / (2 * _SPREAD**2)) for d in range(-2, 3)]
+    smooth: dict[int, float] = defaultdict(float)
+    for j, (e, *_) in enumerate(blocks):
+        near = [(own[j + d], w) for d, w in zip(range(-2, 3), window, strict=True) if 0 <= j + d < len(own)]
+        score = sum(v * w for v, w in near) / sum(w for _, w in near)
+        if inside[e]:
+            score = max(score, own[j])  # the frame vouches for what stands alone
+        smooth[p.path[e]] = max(smooth[p.path[e]], score)
+    bar = _PART * sum(min(fused[x], 400.0) * plain[x] for x in plain) / (sum(plain.values()) or 1)
+    kept = [smooth[p.path[b[0]]] >= bar and o >= bar * 0.5 for b, o in zip(blocks, own, strict=True)]
+    best = max(own, default=0.0)
+    return kept if any(kept) else [o == best for o in own]
+
+
+def _lists_of_links(p: _Page, full: list[int], links: list[int], items: list[int]) -> list[bool]:
+    """Which elements lie in a list of two or more items that is mostly links."""
+    out = [False] * len(p.tag)
+    for e in range(1, len(out)):
+        out[e] = out[p.parent[e]] or p.tag[e] in _LISTS and items[e] > 1 and links[e] > _LINKED * full[e]
+    return out
+
+
+def _filled(p: _Page, blocks: list[list], core: list[bool], inside: list[bool], full: list[int], links: list[int]) -> list[bool]:
+    """The content blocks and the short ones beside them: titles, items, cells and captions whose nearest element with content
+    lies in the content's own container, with nothing but elements of running text between, and which are not mostly links. Code,
+    quotes, items, cells and captions need no such nearness."""
+    n, up, tag = len(p.tag), p.parent, p.tag
+    own = [0] * n
+    for b, c in zip(blocks, core, strict=True):
+        own[b[0]] += c
+    held = p.under(own)
+    total = held[0]
+    top = max(e for e in range(n) if held[e] == total)
+    while top and not (inside[top] and not inside[up[top]]) and (inside[top] or tag[top] in _TEXT):
+        top = up[top]
+    within, fits, group = [False] * n, [False] * n, [0] * n
+    for e in range(n):
+        within[e] = e == top or e > 0 and within[up[e]]
+        group[e] = e if held[up[e]] else group[up[e]]
+        fits[e] = within[e] and (held[e] > 0 or fits[up[e]] and (tag[e] in _TEXT or tag[up[e]] == "header"))
+    first, final = core.index(True), len(core) - 1 - core[::-1].index(True)
+    kept = []
+    for j, ((e, _, size, linked), c) in enumerate(zip(blocks, core, strict=True)):
+        g = group[e]
+        most = linked > _LINKED * size if held[g] else links[g] > _LINKED * full[g]
+        typed = within[e] and (inside[top] or first < j < final) and tag[_block(p, e)] in _TYPED
+        kept.append(c or inside[top] and (fits[e] or typed) and not most)
+    return _without_orphans(p, blocks, core, kept)
+
+
+def _without_orphans(p: _Page, blocks: list[list], core: list[bool], kept: list[bool]) -> list[bool]:
+    """A heading goes where all that it heads went."""
+    head = [_heading(p, b[0]) for b in blocks]
+    after = lost = False
+    for j in range(len(blocks) - 1, -1, -1):
+        if head[j]:
+            if kept[j] and not core[j] and head[j] > 1 and lost and not after:
+                kept[j] = False
+            after = lost = False
+        else:
+            after, lost = after or kept[j], lost or not kept[j]
+    return kept
+
+
+def _block(p: _Page, e: int) -> int:
+    while p.tag[e] in _INLINE:
+        e = p.parent[e]
+    return e
+
+
+def _heading(p: _Page, e: int) -> int:
+    e = _block(p, e)
+    return int(p.tag[e][1]) if p.tag[e] in _HEADINGS else 0
 
 
 def extract_main_text(page: str | None) -> str:
     """The main text: blocks in page order joined by one space."""
-    nodes = [(path, _html.unescape(text), bad, frame, block) for path, text, bad, frame, block in text_nodes(page or "")]
-    nodes = [n for n in nodes if not n[2]]
-    if any(n[3] and n[1].strip() for n in nodes):
-        kept = [n[3] for n in nodes]
-    else:
-        chars: dict[str, int] = defaultdict(int)
-        marks: dict[str, int] = defaultdict(int)
-        count: dict[str, int] = defaultdict(int)
-        real = [bool(n[1].strip()) for n in nodes]
-        for (path, text, *_), there in zip(nodes, real, strict=True):
-            if there:
-                chars[path] += len(text.strip())
-                marks[path] += len(_PUNCT.findall(text))
-                count[path] += 1
-        fused = {p: chars[p] / count[p] * (1 + marks[p] / count[p]) for p in chars}
-        own = [fused.get(n[0], 0.0) if there else 0.0 for n, there in zip(nodes, real, strict=True)]
-        at = [i for i, there in enumerate(real) if there]
-        window = [exp(-(d * d) / (2 * _SPREAD**2)) for d in range(-2, 3)]
-        smooth: dict[str, float] = defaultdict(float)
-        for j, i in enumerate(at):
-            near = [(own[at[j + d]], w) for d, w in zip(range(-2, 3), window, strict=True) if 0 <= j + d < len(at)]
-            smooth[nodes[i][0]] = max(smooth[nodes[i][0]], sum(v * w for v, w in near) / sum(w for _, w in near))
-        weight = sum(chars.values()) or 1
-        bar = _PART * sum(min(fused[p], 400.0) * chars[p] for p in chars) / weight
-        kept = [smooth[n[0]] >= bar and fused.get(n[0], 0.0) >= bar * 0.5 for n in nodes]
-    blocks: list[list[str]] = []
+    p = read_page(page or "")
+    n = len(p.tag)
+    chars = [0] * n
+    for e, text, _ in p.nodes:
+        chars[e] += 0 if p.link[e] else len(text.strip())
+    bad = _boilerplate(p, chars)
+    inside = _frame(p, bad, chars, p.under([0 if b else c for c, b in zip(chars, bad, strict=True)]))
+    bound = any(inside[e] and text.strip() for e, text, _ in p.nodes)
+    blocks: list[list] = []
     last = None
-    for (_, text, _, _, block), keep in zip(nodes, kept, strict=True):
-        if keep:
-            if block != last:
-                blocks.append([])
-                last = block
-            blocks[-1].append(text)
-    joined = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks)
+    for e, text, block in p.nodes:
+        if bad[e] or bound and not inside[e]:
+            continue
+        if block != last:
+            blocks.append([e, "", 0, 0])
+            last = block
+        b = blocks[-1]
+        if not b[1].strip():
+            b[0] = e
+        b[1] += text
+        b[2] += len(text.strip())
+        b[3] += len(text.strip()) if p.link[e] else 0
+    blocks = [b for b in blocks if b[2]]
+    if not blocks:
+        return ""
+    sizes, linked, items = [0] * n, [0] * n, [0] * n
+    for e, _, size, link in blocks:
+        sizes[e] += size
+        linked[e] += link
+        items[e] += 1
+    full, links = p.under(sizes), p.under(linked)
+    listed = _lists_of_links(p, full, links, p.under(items))
+    rest = [b for b in blocks if not listed[b[0]]]
+    if any(b[2] > b[3] for b in rest):  # else the page is its links
+        blocks = rest
+    kept = _filled(p, blocks, _core(p, blocks, inside), inside, full, links)
+    joined = (_SPACE.sub(" ", b[1]).strip() for b, keep in zip(blocks, kept, strict=True) if keep)
     return " ".join(x for x in joined if x)
 
 
