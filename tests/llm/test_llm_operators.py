@@ -188,6 +188,17 @@ def test_html_scores_framed_pages(tag):
     assert html_text.extract_main_text(whole) == f"Title By me Points one two {SAID} y = 2 Cap 1 2"
 
 
+def test_html_keeps_short_blocks_without_a_frame():
+    div = ('<div id="x">', "</div>")
+    body = "First bold text é! next. Second paragraph, with marks; and more words to read than any menu has."
+    assert html_text.extract_main_text(PAGE.replace("{open}", div[0]).replace("{close}", div[1])) == "Title & more " + body
+    side = "<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div>"
+    parts = f"<h1>A title of about forty characters, say</h1>{PROSE * 3}<h2>Points</h2><ul><li>short one<li>short two</ul>{PROSE * 3}<table><caption>Cap</caption><tr><td>1<td>two</table>"
+    want = f"A title of about forty characters, say {SAID} {SAID} {SAID} Points short one short two {SAID} {SAID} {SAID} Cap 1 two"
+    assert html_text.extract_main_text(f"<body>{side}<div>{parts}</div><div>Imprint</div></body>") == want
+    assert html_text.extract_main_text(f"<body><div>{side}<h1>Title</h1><div>{PROSE}</div><div>Imprint</div></div></body>") == f"Title {SAID}"
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", "<p>" * 500 + "deep"), (5, "u", "<article>a" + " b" * 50_000), (3, "u", "plain text only")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

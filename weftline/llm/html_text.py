@@ -6,7 +6,7 @@ multiplied into one score, scores are smoothed along the page with a short Gauss
 content when its smoothed score reaches a threshold below the page's own weighted mean. That holds for every page. What the markup
 says is fused in: text within navigation, headers outside the article, footers, sidebars, forms, scripts and elements whose class, id
 or role names a menu, notice, advert or comments is not scored; ``article`` or ``main`` bounds what is, and lifts what stands alone in
-it; lists of links are menus. Short blocks beside content inside the frame (titles, items, cells, captions) stay. A short text of an
+it; lists of links are menus. Short blocks beside content (titles, items, cells, captions) stay. A short text of an
 element that says nothing of it (``div``) and holds no content is taken for an advert; long prose of an advert or of readers is
 not told from the article's without a name.
 
@@ -247,16 +247,23 @@ def _filled(p: _Page, blocks: list[list], core: list[bool], inside: list[bool],
         within[e] = e == top or e > 0 and within[up[e]]
         group[e] = e if held[up[e]] else group[up[e]]
         fits[e] = within[e] and (held[e] > 0 or fits[up[e]] and (tag[e] in _TEXT or tag[up[e]] == "header"))
+    title = _title(p, blocks, core)
     first, final = core.index(True), len(core) - 1 - core[::-1].index(True)
     kept = []
     for j, ((e, _, size, linked), c) in enumerate(zip(blocks, core, strict=True)):
         g = group[e]
         most = linked > _LINKED * size if held[g] else links[g] > _LINKED * full[g]
         typed = within[e] and (inside[top] or first < j < final) and tag[_block(p, e)] in _TYPED
-        kept.append(c or inside[top] and (fits[e] or typed) and not most)
+        kept.append(c or (fits[e] or typed or j == title) and not most)
     return _without_orphans(p, blocks, core, kept)
 
 
+def _title(p: _Page, blocks: list[list], core: list[bool]) -> int:
+    """The page's only h1 where it comes before the content, wherever it stands; else -1."""
+    found = [j for j, b in enumerate(blocks) if _heading(p, b[0]) == 1]
+    return found[0] if len({_block(p, blocks[j][0]) for j in found}) == 1 and found[0] < core.index(True) else -1
+
+
 def _without_orphans(p: _Page, blocks: list[list], core: list[bool], kept: list[bool]) -> list[bool]:
     """A heading goes where all that it heads went."""
     head = [_heading(p, b[0]) for b in blocks]
