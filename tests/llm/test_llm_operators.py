@@ -199,6 +199,21 @@ def test_html_keeps_short_blocks_without_a_frame():
     assert html_text.extract_main_text(f"<body><div>{side}<h1>Title</h1><div>{PROSE}</div><div>Imprint</div></div></body>") == f"Title {SAID}"
 
 
+def test_html_weighs_names_against_text():
+    side, want = '<div class="sidebar"><p>Side text, with marks.</p></div>', f"Title {SAID}"
+    for tag in ("article", "main", "div"):
+        inner = f"<{tag}><h1>Title</h1>{PROSE}</{tag}>"
+        for wrap in ('div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', 'div id="search-page"', 'section class="share-story"', "form id=aspnetForm", 'div class="discussion-page"'):
+            page = f"<body><nav><a href=1>Home</a></nav><{wrap}>{inner}{side}</{wrap.split()[0]}><footer>Imprint, and so on.</footer></body>"
+            assert html_text.extract_main_text(page) == want, page
+            assert html_text.extract_main_text(f'<body><div class="has-menu">{page[6:]}</div>') == want
+    for said in (f"<div id=comments>{PROSE * 6}</div>", f"<section class=comments><article>{PROSE * 6}</article></section>"):
+        for tag in ("article", "div"):
+            assert html_text.extract_main_text(f"<body><div id=search-page><{tag}><h1>Title</h1>{PROSE}</{tag}></div>{said}") == want
+    cards = "<aside><article><p>A card, and its text.</p></article></aside>"
+    assert html_text.extract_main_text(f"<body><div><h1>Title</h1>{PROSE}</div>{cards}") == want
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", "<p>" * 500 + "deep"), (5, "u", "<article>a" + " b" * 50_000), (3, "u", "plain text only")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

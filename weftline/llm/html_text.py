@@ -5,7 +5,7 @@ links, punctuation marks and blocks are added up; a path's text ratio (character
 multiplied into one score, scores are smoothed along the page with a short Gaussian window over neighbouring blocks, and a path is
 content when its smoothed score reaches a threshold below the page's own weighted mean. That holds for every page. What the markup
 says is fused in: text within navigation, headers outside the article, footers, sidebars, forms, scripts and elements whose class, id
-or role names a menu, notice, advert or comments is not scored; ``article`` or ``main`` bounds what is, and lifts what stands alone in
+or role names a menu, notice, advert or comments is not scored, unless they hold the frame or most of the text; ``article`` or ``main`` bounds what is, and lifts what stands alone in
 it; lists of links are menus. Short blocks beside content (titles, items, cells, captions) stay. A short text of an
 element that says nothing of it (``div``) and holds no content is taken for an advert; long prose of an advert or of readers is
 not told from the article's without a name.
@@ -170,14 +170,40 @@ def read_page(page: str) -> _Page:
 
 
 def _boilerplate(p: _Page, chars: list[int]) -> list[bool]:
-    """Which elements the markup makes boilerplate."""
+    """Which elements the markup makes boilerplate: the marked ones and all below, unless a mark is outweighed.
+
+    A mark gives way where it would remove the page: over a ``main``, over articles with most of the framed text and no less than
+    stands outside of marks, or where a class, id or form holds most of the page's text. Readers' comments can be longer than what
+    they comment on, so their words give way only where next to nothing stands outside."""
     n, up, tag = len(p.tag), p.parent, p.tag
-    framed = [False] * n
-    bad = [False] * n
+    framed, marked = [False] * n, [0] * n
     for e in range(1, n):
         framed[e] = framed[up[e]] or tag[e] in _FRAME
-        marked = p.mark[e] or tag[e] == "header" and not framed[e]
-        bad[e] = bad[up[e]] or bool(marked) and tag[e] not in _PAGE
+        marked[e] = 0 if tag[e] in _PAGE else p.mark[e] or int(tag[e] == "header" and not framed[e])
+    opens = [tag[e] in _FRAME and not p.mark[e] for e in range(n)]
+    main = p.under([int(o and t == "main") for o, t in zip(opens, tag, strict=True)])
+    leads = p.under([int(o or t == "h1") for o, t in zip(opens, tag, strict=True)])
+    slight, said = [False] * n, [False] * n
+    for e in range(1, n):
+        slight[e] = slight[up[e]] or marked[e] == 1 and not leads[e]
+    solid = p.under([0 if x else c for c, x in zip(chars, slight, strict=True)])
+    held = p.under(chars)
+    for e in range(1, n):
+        said[e] = said[up[e]] or marked[e] == 2 and not main[e] and (solid[0] - solid[e]) * 10 >= held[e]
+    chars = [0 if x else c for c, x in zip(chars, said, strict=True)]
+    held = p.under(chars)
+    in_frame = [0] * n  # text of frames that open below
+    for e in range(n - 1, 0, -1):
+        in_frame[up[e]] += held[e] if opens[e] else in_frame[e]
+    bad = [False] * n
+    for e in range(1, n):
+        bad[e] = bad[up[e]] or bool(marked[e])
+    clean = sum(c for c, b in zip(chars, bad, strict=True) if not b)
+    for e in range(1, n):
+        bad[e] = bad[up[e]] or said[e]
+        if marked[e] == 1 and not bad[e] and not main[e]:
+            most = held[e] * 2 > held[0] and (tag[e] in ("form", "fieldset") or tag[e] not in _ASIDE and tag[e] != "header")
+            bad[e] = not (most or in_frame[e] * 2 > in_frame[0] and in_frame[e] >= clean)
     return bad
 
 
