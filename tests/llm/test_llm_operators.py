@@ -240,6 +240,24 @@ def test_fingerprints(docs, empty):
     assert fuzzy_hash.fingerprints(docs.where(F.col("doc_id") == 503)).first()["near_next"] == 1.0
 
 
+def test_fingerprints_cover_the_text():
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("etaoin shrdlu,.") for _ in range(n))
+    texts = [w * (3000 // len(w)) + prose(n) for w in ("And ", "Und ", "El ", "Heea ", "x", "Ndnd Of. ") for n in (0, 40, 3000)] + [prose(n) for n in (1, 64, 65, 200, 5000)]
+    for text in texts:
+        data = text.encode()
+        h = fuzzy_hash.rolling(data)
+        size, *parts = fuzzy_hash.fingerprint(text).split(":")
+        for up, part in enumerate(parts[: fuzzy_hash.SIZES]):
+            cuts = {i for i, x in enumerate(h.tolist()) if x % (int(size) << up) == 0} | {len(data) - 1}
+            assert len(part) == len(cuts) <= fuzzy_hash.PIECES
+    text = "And " * 782
+    assert fuzzy_hash.likeness(fuzzy_hash.fingerprint(text), fuzzy_hash.fingerprint(text[:1564] + prose(1564))) <= 0.6
+    assert fuzzy_hash._alike("A", "A") == 0.0 and fuzzy_hash._alike("AB", "AB") == 1.0
+    assert len({fuzzy_hash.fingerprint(chr(i)) for i in range(1, 128)}) == 127
+    assert all(fuzzy_hash.likeness(fuzzy_hash.fingerprint(x), fuzzy_hash.fingerprint(x)) == 1.0 for x in ("", "a", "x" * 999))
+
+
 def test_edit_distance():
     def slow(a, b):
         row = list(range(len(b) + 1))

@@ -1,10 +1,12 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over seven bytes cuts a text wherever it meets the block size's trigger; each piece becomes one letter of a
-signature, so an edit changes few letters. Block sizes double; the length sets the one at which 33 to 64 pieces are expected, too few
-pieces the one below, and signatures are kept at that size and the next two. The 64th letter stands for all that follows. Two
-fingerprints are compared by edit distance at a block size that both have. Rolling hashes of a whole
-text are computed at once with numpy, pieces are hashed with CRC-32, and the edit distance runs bit-parallel.
+signature, so an edit changes few letters. Block sizes double; the length sets the one at which 33 to 64 pieces are expected, more
+than 64 pieces the next that gives no more, too few the one below where it gives no more than 64; signatures are kept at that size
+and the next two, and each covers the whole text. Two fingerprints are compared by edit distance at a block size that both have;
+one letter tells too little. A finest signature of fewer than eight letters is followed by a digest, so that equal fingerprints mean
+equal texts there. Rolling hashes of a whole text are computed at once with numpy, pieces are hashed with CRC-32, and the edit
+distance runs bit-parallel.
 
 Every document is also compared with the next one in descending doc_id, which needs an order over all documents: they are dealt
 into ranges of doc_id whose bounds are approximate quantiles, ordered inside each, and the last of a range is joined to the first
@@ -32,6 +34,10 @@ PIECES = 64
 #: Block sizes of a fingerprint.
 SIZES = 3
 WINDOW = 7
+#: Largest block size, as a power of two: all sizes of a fingerprint fit the hash.
+_MAX_BITS = 33 - SIZES
+#: Signatures of fewer letters come with a digest of the text.
+_SHORT = 8
 #: Documents in a range of doc_id, about.
 RANGE_ROWS = 4000
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -62,19 +68,28 @@ def _signature(data: bytes, cuts: np.ndarray) -> str:
 
 
 def fingerprint(text: str) -> str:
-    """``block size:signature:signature at twice:at four times the block size``. Cuts at a size are among those at half of it."""
+    """``block size:signature:signature at twice:at four times the block size``, and ``:digest`` where the first has few letters.
+    Cuts at a size are among those at half of it."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return "1:::"
     h = rolling(data)
+    cuts = lambda bits, at: at[(h[at] & np.uint32((1 << bits) - 1)) == 0]
+    pieces = lambda at: len(at) + (not len(at) or int(at[-1]) + 1 < len(data))
     bits = ((len(data) - 1) // PIECES).bit_length()
     at = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0)
-    if bits and len(at) < PIECES // 2:
-        bits -= 1
-        at = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0)
-    parts = []
-    for up in range(SIZES):
-        parts.append(_signature(data, at[(h[at] & np.uint32((1 << bits + up) - 1)) == 0][: PIECES - 1]))
+    while pieces(at) > PIECES and bits < _MAX_BITS:
+        bits += 1
+        at = cuts(bits, at)
+    if pieces(at) > PIECES:
+        at = at[:0]
+    elif bits and len(at) < PIECES // 2:
+        finer = np.flatnonzero((h & np.uint32((1 << bits - 1) - 1)) == 0)
+        if pieces(finer) <= PIECES:
+            bits, at = bits - 1, finer
+    parts = [_signature(data, cuts(bits + up, at)) for up in range(SIZES)]
+    if len(parts[0]) < _SHORT:
+        parts.append(hashlib.sha256(data).hexdigest()[:16])
     return f"{1 << bits}:" + ":".join(parts)
 
 
@@ -102,11 +117,11 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def _alike(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
     k = 4 if min(len(a), len(b)) >= 16 else 2
     if min(len(a), len(b)) < k:
         return 0.0
+    if a == b:
+        return 1.0
     grams = {a[i : i + k] for i in range(len(a) - k + 1)}
     if not any(b[i : i + k] in grams for i in range(len(b) - k + 1)):
         return 0.0
@@ -117,7 +132,7 @@ def likeness(x: str, y: str) -> float:
     """0 to 1; 0 where no block size is common or no run of letters is."""
     if x == y:
         return 1.0
-    (s, *a), (t, *b) = x.split(":"), y.split(":")
+    (s, *a), (t, *b) = x.split(":")[: SIZES + 1], y.split(":")[: SIZES + 1]
     s, t = int(s), int(t)
     return max((_alike(p, q) for i, p in enumerate(a) for j, q in enumerate(b) if s << i == t << j), default=0.0)
 
