@@ -214,6 +214,13 @@ def test_html_weighs_names_against_text():
     assert html_text.extract_main_text(f"<body><div><h1>Title</h1>{PROSE}</div>{cards}") == want
 
 
+def test_html_raw_elements_end_where_they_do():
+    for i in ("\u0130", "\u0130" * 40):
+        for end in ("</script>", "</SCRIPT >"):
+            page = f"<body><title>{i}</title><p>{i}</p><script>x{end}<article>text</article></body>"
+            assert html_text.extract_main_text(page) == "text"
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", "<p>" * 500 + "deep"), (5, "u", "<article>a" + " b" * 50_000), (3, "u", "plain text only")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

@@ -30,6 +30,7 @@ from weftline.llm.common import table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _NEVER = {"button", "select", "option", "head", "audio", "video", "canvas", "object", "map", "datalist"} | _RAW
@@ -114,12 +115,10 @@ def read_page(page: str) -> _Page:
     stack: list[tuple[str, int]] = []  # tag, element
     at = block = 0
     raw = ""
-    low = None
     while at < len(page):
         if raw:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{raw}", at)
-            at, raw = (len(page) if end < 0 else end), ""
+            end = _RAW_END[raw].search(page, at)
+            at, raw = (end.start() if end else len(page)), ""
             continue
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
