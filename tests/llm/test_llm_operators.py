@@ -295,6 +295,12 @@ def test_media(docs, empty):
     assert media_chunks.media_columns(empty).count() == 0
 
 
+def test_media_of_texts_alike_when_padded(spark):
+    texts = ["", "\0", "abc", "abc\0", "abc\0\0", "abc"]
+    got = local(media_chunks.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r["doc_id"]: r["n_bytes"] for r in got} == {i: len(x) for i, x in enumerate(texts)}
+
+
 def test_gear_cuts():
     data = np.random.default_rng(4).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
     cuts = media_chunks.gear_cuts(data)

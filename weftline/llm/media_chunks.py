@@ -8,8 +8,8 @@ chunk's digest and the file's own, and computes features from the samples read.
 
 The content crosses the network twice, compressed: to its digest's bucket and to its file. The store is a table bucketed by
 digest, so the join moves the lists only, and a map task sends a chunk's content once. Lists are kept per distinct file: copies of
-a text, be they a third of all rows, are read back once and get its features by a join of light rows. A chunk that very many
-different files share is joined through salted copies of its row.
+a text, be they a third of all rows, are read back once and get its features by a join of light rows; the length before padding is
+each row's own. A chunk that very many different files share is joined through salted copies of its row.
 
 Defined results: a null text is empty and becomes 64 zero samples; equal texts give equal values; repeated rows are files of their
 own; an empty table gives no rows; other input columns are not read.
@@ -155,7 +155,7 @@ def train_dictionary(texts: DataFrame, rows: int, size: int) -> bytes:
 
 
 def features(samples: bytes) -> str:
-    """Mean, root mean square around it, crossings of the middle and the spectral centre of the samples."""
+    """Mean, root mean square around it, crossings of the middle and the greatest of the samples."""
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.float32)
     mean = float(x.mean(dtype=np.float64))
     rms = float(np.sqrt(np.mean((x - np.float32(mean)) ** 2, dtype=np.float64)))
@@ -163,7 +163,7 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.3f};rms={rms:.3f};crossings={crossings};peak={int(x.max())}"
 
 
-_FEATURES = ["whole", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
+_FEATURES = ["whole", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
 
 
 def _assemble(dictionary: bytes):
@@ -174,7 +174,7 @@ def _assemble(dictionary: bytes):
         parts: list[bytes] = []
         for b in rows:
             out = []
-            for whole, seq, n_seq, n_bytes, digest, data in zip(b["whole"], b["seq"], b["n_seq"], b["n_bytes"], b["digest"], b["data"], strict=True):
+            for whole, seq, n_seq, digest, data in zip(b["whole"], b["seq"], b["n_seq"], b["digest"], b["data"], strict=True):
                 if seq == 0:
                     parts = []
                 piece = unpack(data)
@@ -186,7 +186,7 @@ def _assemble(dictionary: bytes):
                     if hashlib.sha256(media).digest() != bytes(whole):
                         raise ValueError("a file was not read back as stored")
                     payload = wav_samples(media)
-                    out.append((whole, n_bytes, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-ROW:]), len(media), f"{features(payload)};chunks={n_seq}"))
+                    out.append((whole, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-ROW:]), len(media), f"{features(payload)};chunks={n_seq}"))
             if out:
                 yield pd.DataFrame(out, columns=_FEATURES)
 
@@ -220,7 +220,7 @@ class ChunkStore:
 
 def read_back(lists: DataFrame, store: ChunkStore) -> DataFrame:
     """One row of features per distinct file, from its chunks in the store."""
-    files = materialize(lists.drop("doc_id").dropDuplicates(["whole", "seq"]), "media-files")
+    files = materialize(lists.drop("doc_id", "n_bytes").dropDuplicates(["whole", "seq"]), "media-files")
     hot = materialize(files.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_COPY).select("digest", F.ceil(F.col("n") / PER_COPY).cast("int").alias("copies")), "media-hot")
     n_hot = hot.count()
 
@@ -232,10 +232,10 @@ def read_back(lists: DataFrame, store: ChunkStore) -> DataFrame:
         copied = store.read().join(few, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         return some.join(few, "digest", "left_anti").join(store.read(), "digest").unionByName(salted.join(copied.drop("copies"), ["digest", "salt"]).drop("copies", "salt"))
 
-    cols = ["whole", "seq", "n_seq", "n_bytes", "digest", "data"]
+    cols = ["whole", "seq", "n_seq", "digest", "data"]
     alone = with_data(files.where("n_seq = 1")).select(*cols)  # one chunk is the file: nothing to bring together
     parts = with_data(files.where("n_seq > 1")).select(*cols).repartition("whole").sortWithinPartitions("whole", "seq")
-    schema = "whole binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
+    schema = "whole binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
     return alone.mapInPandas(_assemble(store.dictionary), schema).unionByName(parts.mapInPandas(_assemble(store.dictionary), schema))
 
 
@@ -248,7 +248,7 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     with shuffle_files_dropped(docs.sparkSession):
         read = materialize(read_back(lists, store), "media-read")
     hexed = lambda c: F.lower(F.hex(c))
-    out = lists.where("seq = 0").select("doc_id", "whole").join(read, "whole")
+    out = lists.where("seq = 0").select("doc_id", "whole", "n_bytes").join(read, "whole")
     return out.select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("whole").alias("media_sha256"), "feature")
 
 
