@@ -427,6 +427,19 @@ def test_tool_calls(spark, duck):
     assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in df.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_tool_calls_left_out(spark):
+    tool = lambda i: json.dumps({"tool_call_id": i, "content": "c"})
+    rows = [
+        (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 4, "assistant", "late"), (1, 5, None, "x"), (1, 6, "tool", "plain"),
+        (2, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q"}, "after": []}]})),
+        (2, 1, "tool", tool("a")), (2, 2, "tool", tool("a")), (2, 3, "tool", tool("gone")), (2, 4, "assistant", json.dumps({"tool_calls": []})),
+    ]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["reason"] for r in local(tool_calls.left_out(m))}
+    none = "no call or result"
+    assert got == {(1, 0): none, (1, 4): "result of no call", (1, 5): none, (1, 6): none, (2, 2): "further result", (2, 3): "result of no call", (2, 4): none}
+
+
 def test_url_oracle(spark, duck):
     df, want = url_filter.op5_url_filter(spark, DATA), duck.sql(url_filter.ORACLE_OP5)
     assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in df.collect()))) == sorted(map(str, want.fetchall()))

@@ -8,16 +8,20 @@ earlier message or be ordered before it in its own, so (turn, step) is an order,
 before the call; a cycle or a later call is reported. Arguments are checked against the tools' schemas, and call and result
 become one line of canonical JSON: keys sorted at every level, no white space.
 
-Defined results: a null text is a plain message whose prompt is null, which the schema refuses; null roles, turns and
-conversations are carried, but link to nothing; of repeated results the first by turn and content counts; repeated calls are kept
+Defined results: a null text is a plain message whose prompt is null, which the schema refuses; null turns and
+conversations of calls are carried, but link to nothing; of repeated results the first by turn and content counts; repeated calls are kept
 and linked each; text that is no JSON object is plain; an empty table gives no rows; other input columns are not read.
+
+The result holds calls only. Messages that are part of no call (system messages, other or null roles), results whose identifier no
+call has, further results of an answered call and assistant turns without a user turn before them leave no row there;
+``left_out`` gives each of them with its reason.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table
@@ -68,26 +72,36 @@ def _steps(calls: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.transform(calls, lambda _: F.lit(0)), relax)
 
 
-def messages_to_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calls, results) of messages (conv_id, turn, role, text)."""
+def _own_id(back: int) -> Column:
+    return F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn") - back)
+
+
+def _messages(messages: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Messages with what they say of calls; and of results, the call that they answer (null of other messages) and content."""
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text"))
     looks = F.coalesce(F.ltrim("text").startswith("{"), F.lit(False))
     m = m.withColumn("json", F.when(looks, F.try_parse_json("text")))
     made = F.when(F.col("role") == "assistant", F.try_variant_get("json", "$.tool_calls", _CALLS))
     answer = F.when(F.col("role") == "tool", F.try_variant_get("json", "$.tool_call_id", "string"))
     m = m.withColumn("made", made).withColumn("answer", answer)
-    own_id = lambda back: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), F.col("turn") - back)
+    content = F.when(F.col("answer").isNotNull(), F.try_variant_get("json", "$.content", "string")).otherwise(F.col("text"))
+    plain = (F.col("role") == "assistant") & F.col("made").isNull()
+    return m, {"call_id": F.coalesce("answer", F.when(plain, _own_id(1))), "content": content, "is": F.col("answer").isNotNull() | plain}
+
+
+def messages_to_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results) of messages (conv_id, turn, role, text)."""
+    m, of = _messages(messages)
     arguments = F.parse_json(F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")), {"ignoreNullFields": "false"}))
-    plain = F.struct(own_id(0).alias("id"), F.lit("respond").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(own_id(2))).otherwise(F.array().cast("array<string>")).alias("after"))
+    plain = F.struct(_own_id(0).alias("id"), F.lit("respond").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(_own_id(2))).otherwise(F.array().cast("array<string>")).alias("after"))
     calls = m.where(F.col("made").isNotNull()).select("conv_id", "turn", "made")
     calls = calls.withColumn("step", _steps(F.col("made"))).withColumn("n_calls", F.size("made"))
     calls = calls.select("conv_id", "turn", "n_calls", F.explode(F.arrays_zip("made", "step")).alias("z")).select("conv_id", "turn", F.col("z.made").alias("call"), F.col("z.step").alias("step"), "n_calls")
     turns = m.where((F.col("role") == "user") & F.col("made").isNull()).select("conv_id", "turn", plain.alias("call"), F.lit(0).alias("step"), F.lit(1).alias("n_calls"))
     cols = ["conv_id", "turn", "step", "n_calls", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), F.col("call.after").alias("after")]
     calls = calls.select(*cols).unionByName(turns.select(*cols))
-    content = F.when(F.col("answer").isNotNull(), F.try_variant_get("json", "$.content", "string")).otherwise(F.col("text"))
-    results = m.where((F.col("answer").isNotNull()) | ((F.col("role") == "assistant") & F.col("made").isNull()))
-    return calls, results.select("conv_id", F.coalesce("answer", own_id(1)).alias("call_id"), F.col("turn").alias("result_turn"), content.alias("result"))
+    results = m.where(of["is"])
+    return calls, results.select("conv_id", of["call_id"].alias("call_id"), F.col("turn").alias("result_turn"), of["content"].alias("result"))
 
 
 def link_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Mapping]] = SCHEMAS) -> DataFrame:
@@ -109,6 +123,22 @@ def link_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Mapping]]
     return out.select("conv_id", "turn", "step", "call_id", "name", "error", F.coalesce("r.result_turn", F.lit(-1).cast("long")).alias("result_turn"), line.alias("message"))
 
 
+def left_out(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text and reason of every message that neither makes a call nor is the result that a call got."""
+    calls, results = messages_to_calls(messages)
+    m, at = _messages(messages)
+    known = calls.select("conv_id", "call_id").distinct().withColumn("known", F.lit(True))
+    first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("result_turn", "result")).alias("r"))
+    makes = (F.coalesce(F.size("made") > 0, F.lit(False))) | (F.coalesce(F.col("role") == "user", F.lit(False)) & F.col("made").isNull())
+    rest = m.where(~makes).withColumn("call_id", at["call_id"]).withColumn("_result", at["content"])
+    rest = rest.join(known, ["conv_id", "call_id"], "left").join(first, ["conv_id", "call_id"], "left")
+    same = F.col("r").eqNullSafe(F.struct(F.col("turn").alias("result_turn"), F.col("_result").alias("result")))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "call_id", "turn", "_result").orderBy("text"))
+    rest = rest.withColumn("_nth", nth)
+    reason = F.when(F.col("call_id").isNull(), F.lit("no call or result")).when(F.col("known").isNull(), F.lit("result of no call")).when(~same | (F.col("_nth") > 1), F.lit("further result"))
+    return rest.withColumn("reason", reason).where("reason is not null").select("conv_id", "turn", "role", "text", "reason")
+
+
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call of every conversation, linked, ordered, validated and serialised."""
     return link_calls(table(spark, sf_dir, "conversations"))
