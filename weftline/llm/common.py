@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Rows of a range of :func:`sums_before`, at least.
 RANGE_ROWS = 1000
+#: Rows that one copy of a key's row serves in :func:`join_hot`.
+PER_COPY = 2000
 
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder if driver and executors are
+    one process; on a cluster each executor would write to a disk of its own, so that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
     return _own_dir[0]
@@ -80,6 +86,23 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def carried(c: Column) -> Column:
+    """An id as text, for the way through pandas: integers beside a null would become floats there and lose their last digits."""
+    return c.cast("string")
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, n_hot: int, per_copy: int = PER_COPY) -> DataFrame:
+    """``rows`` joined with ``side``, one row a key, where the keys of ``hot`` (key, n), no more than ``n_hot``, hold over ``per_copy``
+    rows each: those are dealt out by a salt as well, and side's row is there once for each salt."""
+    if not n_hot:
+        return rows.join(side, key)
+    few = small(hot.select(key, F.ceil(F.col("n") / per_copy).cast("long").alias("_wl_copies")), n_hot)
+    copies = F.coalesce("_wl_copies", F.lit(1).cast("long"))
+    salted = rows.join(few, key, "left").withColumn("_wl_salt", F.pmod(F.monotonically_increasing_id(), copies)).drop("_wl_copies")
+    copied = side.join(few, key, "left").withColumn("_wl_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_wl_copies")
+    return salted.join(copied, [key, "_wl_salt"]).drop("_wl_salt")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its ``rows``, counted by the caller, are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -6,7 +6,8 @@ multiplied into one score, scores are smoothed along the page with a short Gauss
 content when its smoothed score reaches a threshold below the page's own weighted mean. That holds for every page. What the markup
 says is fused in: text within navigation, headers outside the article, footers, sidebars, forms, scripts and elements whose class, id
 or role names a menu, notice, advert or comments is not scored, unless they hold the frame or most of the text; ``article`` or ``main`` bounds what is, and lifts what stands alone in
-it; lists of links are menus. Short blocks beside content (titles, items, cells, captions) stay. A short text of an
+it; lists of links are menus. Text that stands bare in a container (``div``) counts half beside paragraphs, and outside the subtree
+of the paragraphs it is no content. Short blocks beside content (titles, items, cells, captions) stay. A short text of an
 element that says nothing of it (``div``) and holds no content is taken for an advert; long prose of an advert or of readers is
 not told from the article's without a name.
 
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import carried, table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "svg", "math"}
@@ -62,6 +63,7 @@ _CLOSES_P = _SECTION - {"html", "body", "td", "tr", "th", "li", "dd", "dt"} | {"
 _SIBLING = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt", {"dl"}), "dd": ("dd", {"dl"}), "tr": ("tr", {"table", "tbody", "thead"}), "td": ("td", {"tr"}), "th": ("th", {"tr"}), "option": ("option", {"select"})}
 _SPREAD = 1.0
 _PART = 0.5
+_BARE = 0.5
 #: Of a group's characters, how many in links make it a menu.
 _LINKED = 0.6
 
@@ -231,6 +233,9 @@ def _core(p: _Page, blocks: list[list], inside: list[bool]) -> list[bool]:
         marks[path] += len(_PUNCT.findall(text)) if linked < size else 0
         count[path] += 1
     fused = {x: plain[x] / count[x] * (1 + marks[x] / count[x]) for x in plain}
+    said = {p.path[e] for e, *_ in blocks if p.tag[_block(p, e)] in _TEXT}
+    if said:  # beside elements of running text, text that stands in a mere container counts half
+        fused = {x: v if x in said else v * _BARE for x, v in fused.items()}
     own = [fused[p.path[b[0]]] for b in blocks]
     window = [exp(-(d * d) / (2 * _SPREAD**2)) for d in range(-2, 3)]
     smooth: dict[int, float] = defaultdict(float)
@@ -243,7 +248,29 @@ def _core(p: _Page, blocks: list[list], inside: list[bool]) -> list[bool]:
     bar = _PART * sum(min(fused[x], 400.0) * plain[x] for x in plain) / (sum(plain.values()) or 1)
     kept = [smooth[p.path[b[0]]] >= bar and o >= bar * 0.5 for b, o in zip(blocks, own, strict=True)]
     best = max(own, default=0.0)
-    return kept if any(kept) else [o == best for o in own]
+    return _within_text(p, blocks, kept if any(kept) else [o == best for o in own])
+
+
+def _within_text(p: _Page, blocks: list[list], core: list[bool]) -> list[bool]:
+    """The content without bare text of containers that stand outside the subtree of the content's running text, if there is half as
+    much of that at least: an advert is no part of the article beside it, whatever its score."""
+    said = [c and p.tag[_block(p, b[0])] in _TEXT for b, c in zip(blocks, core, strict=True)]
+    own = [0] * len(p.tag)
+    for b, s in zip(blocks, said, strict=True):
+        own[b[0]] += b[2] if s else 0
+    held = p.under(own)
+    if not held[0]:
+        return core
+    top = max(e for e in range(len(own)) if held[e] == held[0])
+    while p.tag[top] in _TEXT and top:
+        top = p.parent[top]
+    within = [False] * len(own)
+    for e in range(len(own)):
+        within[e] = e == top or e > 0 and within[p.parent[e]]
+    bare = [c and not s and not within[b[0]] for b, c, s in zip(blocks, core, said, strict=True)]
+    if held[0] * 2 < sum(b[2] for b, x in zip(blocks, bare, strict=True) if x):
+        return core
+    return [c and not x for c, x in zip(core, bare, strict=True)]
 
 
 def _lists_of_links(p: _Page, full: list[int], links: list[int], items: list[int]) -> list[bool]:
@@ -364,9 +391,9 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
             text = [extract_main_text(x) for x in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kind = src.schema["page_id"].dataType.simpleString()
-    return src.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    src = pages.select(carried(F.col(id_col)).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    out = src.mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(pages.select(F.col(id_col)).schema[0].dataType))
 
 
 def op2_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
