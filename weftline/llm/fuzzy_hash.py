@@ -8,13 +8,14 @@ one letter tells too little. A finest signature of fewer than eight letters is f
 equal texts there. Rolling hashes of a whole text are computed at once with numpy, pieces are hashed with CRC-32, and the edit
 distance runs bit-parallel.
 
-Every document is also compared with the next one in descending doc_id, which needs an order over all documents: they are dealt
-into ranges of doc_id whose bounds are approximate quantiles, ordered inside each, and the last of a range is joined to the first
-of the next non-empty one; no task sees more than a range.
+Every document is also compared with the next one in descending doc_id, which needs an order over all documents. They are dealt
+into as many ranges of doc_id as there are shuffle partitions, at approximate quantiles of the ids; an id that spans several ranges is
+divided by its texts' hashes. A task reads its range in order, one document after the other, so a range of any size needs the memory
+of two documents; texts are compressed, shuffled and read once. Only the first and last row of each range go on to meet each other.
 
 Defined results: a null text is empty; an empty text has the fingerprint ``1:::``; equal texts, empty ones included, have likeness
-1; repeated doc_ids are ordered by text hash and text; a single document is its own next; an empty table gives no rows; other
-input columns are not read.
+1; null doc_ids come last, repeated ones are ordered by text hash and text; a single document is its own next; an empty table gives no
+rows; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, table, text_of
+from weftline.llm.common import carried, materialize, partitions, table, text_of
 
 PIECES = 64
 #: Block sizes of a fingerprint.
@@ -38,10 +39,7 @@ WINDOW = 7
 _MAX_BITS = 33 - SIZES
 #: Signatures of fewer letters come with a digest of the text.
 _SHORT = 8
-#: Documents in a range of doc_id, about.
-RANGE_ROWS = 4000
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"]
 _MIX = np.array([0x9E3779B1 * (i * i * 2654435761 + 12345 + i) & 0xFFFFFFFF | 1 for i in range(WINDOW)], dtype=np.uint32)
 
 
@@ -143,71 +141,96 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        b["doc_id"] = b["doc_id"].astype("Int64")
         yield b.assign(text=[pack(t.encode("utf-8", "surrogatepass")) for t in b["text"]])
 
 
-def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+RESULT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: A row of a range's end: which end, the range, the whole text compressed.
+_EDGE = "edge string, range int, text binary"
+
+
+def _compared(doc: str | None, text: str, print_: str, next_text: str, next_print: str) -> tuple:
+    half = len(text) // 2
+    edited = text[: len(text) - half] + next_text[:half]
+    changed = fingerprint(edited)
+    return doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), print_, changed, likeness(print_, changed), likeness(print_, next_print)
+
+
+def _unpacker():
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    read = lambda x: unpack(x).decode("utf-8", "surrogatepass")
+    return lambda x: unpack(x).decode("utf-8", "surrogatepass")
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one or more ranges, each in descending order: every row with its next one; of each range the first and the last."""
+    read = _unpacker()
+    names = [x.split()[0] for x in f"{RESULT}, {_EDGE}".split(", ")]
+    none = (None,) * 6
+    before = None  # range, packed text, and what _compared takes of a row
     for b in batches:
         rows = []
-        for i, tie, r, text, nxt in zip(b["doc_id"], b["_tie"], b["_range"], b["text"], b["next_text"], strict=True):
-            text = read(text)
-            half = len(text) // 2
-            edited = text[: len(text) - half] + read(nxt)[:half]
-            f, g = fingerprint(text), fingerprint(edited)
-            rows.append((i, tie, r, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g)))
-        out = pd.DataFrame(rows, columns=["doc_id", "_tie", "_range", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
-        out["doc_id"] = b["doc_id"].astype("Int64")
-        yield out
-
-
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for doc, r, packed in zip(b["doc_id"], b["_range"], b["text"], strict=True):
+            text = read(packed)
+            now = (r, packed, doc, text, fingerprint(text))
+            if before is None or before[0] != r:
+                if before is not None:
+                    rows.append((before[2], None, None, before[4], *none[3:], "last", before[0], before[1]))
+                rows.append((doc, None, None, now[4], *none[3:], "first", r, packed))
+            else:
+                rows.append((*_compared(*before[2:], text, now[4]), None, None, None))
+            before = now
+        yield pd.DataFrame(rows, columns=names)
+    if before is not None:
+        yield pd.DataFrame([(before[2], None, None, before[4], *none[3:], "last", before[0], before[1])], columns=names)
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    read = _unpacker()
     for b in batches:
-        near = [likeness(x, y) for x, y in zip(b["fingerprint"], b["next_fp"], strict=True)]
-        yield b.assign(near_next=near, doc_id=b["doc_id"].astype("Int64"))[[*_COLUMNS, "near_next"]]
-
+        rows = [_compared(d, read(t), f, read(u), g) for d, t, f, u, g in zip(b["doc_id"], b["text"], b["fingerprint"], b["next_text"], b["next_print"], strict=True)]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
 
-def _with_next(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Add ``name``: ``value`` of the next row in descending doc_id over all ranges; the first row's for the very last row.
 
-    Inside a range it is a window. Of each range only the first row goes to the range before, by a join on the range number, whose
-    exchange the window has made already; which range comes next is found from the ranges alone, one row each."""
-    within = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_tie")
-    rows = rows.withColumn(name, F.lead(F.struct(value)).over(within)).withColumn("_nth", F.row_number().over(within))
-    first = rows.where("_nth = 1").select(F.col("_range").alias("_to"), F.struct(value).alias("_first"))
-    ring = Window.orderBy(F.col("_range").desc())
-    numbers = rows.select("_range").distinct()
-    nxt = numbers.select("_range", F.coalesce(F.lead("_range").over(ring), F.max("_range").over(Window.partitionBy())).alias("_to"))
-    first = nxt.join(first, "_to").select("_range", "_first")
-    return rows.join(first, "_range").withColumn(name, F.coalesce(name, "_first")[value]).drop("_first", "_nth")
+def range_number(docs: DataFrame, key: str, tie: str, parts: int) -> Column:
+    """The range, 0 to ``parts`` - 1, of a row by the long column ``key``, nulls lowest; where a key spans several ranges, by ``tie``,
+    a hash. The bounds are approximate quantiles, found by halving in log2(parts) steps."""
+    bounds = [int(x) for x in docs.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    if not bounds:
+        return F.lit(0)
+    of = F.array(*[F.lit(x).cast("long") for x in bounds])
 
+    def below(strict: bool) -> Column:
+        """How many bounds are less than the key, or no greater."""
+        lower = (lambda x: x < F.col(key)) if strict else (lambda x: x <= F.col(key))
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & lower(F.get(of, at + step - 1)), at + step).otherwise(at))
 
-def _ranges(docs: DataFrame, id_col: str, rows: int):
-    """The number of the range that holds an id, as a column: approximate quantiles cut the ids, nulls come last in descent."""
-    n = docs.count()
-    parts = max(1, min(4096, n // rows))
-    probabilities = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(docs.where(F.col(id_col).isNotNull()).approxQuantile(id_col, probabilities, 0.2 / parts))) if parts > 1 else []
-    number = F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds]), lambda x: x <= F.col(id_col))) if bounds else F.lit(0)
-    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(number).cast("int")
+    least, most = below(True), below(False)
+    share = F.shiftrightunsigned(F.col(tie), 33) / float(1 << 31)
+    return (F.when(F.col(key).isNull(), F.lit(0)).otherwise(least + F.floor(share * (most - least + 1)))).cast("int")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document.
 
     The edited text has its last half replaced by the first half-length of the next document's text."""
+    parts = ranges or partitions(docs.sparkSession)
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_tie"), _ranges(docs, id_col, range_rows).alias("_range"))
-    rows = rows.mapInPandas(_pack, "doc_id long, text binary, _tie long, _range int")
-    rows = _with_next(rows, "text", "next_text").select("doc_id", "text", "next_text", "_tie", "_range")
-    schema = "doc_id long, _tie long, _range int, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"
-    prints = materialize(rows.mapInPandas(_prints, schema), "ctph")
-    paired = _with_next(prints, "fingerprint", "next_fp").drop("_tie", "_range")
-    return paired.mapInPandas(_near, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_tie"))
+    number = range_number(docs.select(F.col(id_col).cast("long").alias("_id")), "_id", "_tie", parts)
+    rows = rows.select(carried(F.col("_id")).alias("doc_id"), number.alias("_range"), "_tie", "text").mapInPandas(_pack, "doc_id string, _range int, _tie long, text binary")
+    dealt = rows.repartitionById(parts, F.col("_range")).sortWithinPartitions(F.col("_range").desc(), F.col("doc_id").cast("long").desc_nulls_last(), "_tie", "text")
+    walked = materialize(dealt.select("doc_id", "_range", "text").mapInPandas(_walk, f"{RESULT}, {_EDGE}"), "ctph")
+    # two rows a range; the ranges are as many as partitions
+    ring = Window.orderBy(F.col("range").desc())
+    nxt = walked.where("edge = 'first'").select("range", F.coalesce(F.lead("range").over(ring), F.max("range").over(Window.partitionBy())).alias("to"))
+    first = walked.where("edge = 'first'").select(F.col("range").alias("to"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
+    last = walked.where("edge = 'last'").select("doc_id", "range", "text", "fingerprint").join(F.broadcast(nxt), "range").join(first, "to")
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    out = walked.where("edge is null").select(*names).unionByName(last.mapInPandas(_edges, RESULT))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4_context_triggered_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
