@@ -1,10 +1,14 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Documents are tokenized where they are read; only piece lengths and checksums go on. Pieces are dealt by hash into blocks of about
-BLOCK pieces, enough that a block packs as tightly as the whole. For each block several islands, tasks of their own, evolve
-packings with different seeds: a chromosome is a packing, crossover injects whole well-filled bins of one parent into the other,
-drops the bins that they duplicate and puts the displaced documents back by best fit. Between the rounds an island's elite moves to
-all islands of the block, and at the end the packing with the fewest sequences is kept.
+BLOCK pieces. For each block several islands, tasks of their own, evolve packings with different seeds. A chromosome is a packing; a
+population starts from best fit in random orders. Crossover injects whole well-filled bins of one parent, of any rank, into the other,
+drops the bins that they duplicate and the ill-filled ones, fills the remaining bins up by exchanging some of their documents for
+displaced ones, and puts the displaced documents back by best fit. Between the rounds an island's elite moves to all islands of the
+block, and at the end the packing with the fewest sequences is kept. A population that reaches the lower bound (words of the block by
+capacity, rounded up) stops; one that has not done so after two thirds of its generations takes in the best-fit decreasing packing, so
+no result has more sequences than that one. Blocks each waste a part of a sequence, so the worst-filled sequences of GATHER blocks at
+a time are opened and packed once more in the same way, until one group is left.
 
 Defined results: a null text is empty and is the one token that ends it; only documents over the capacity are cut; repeated rows
 are packed as documents of their own; an empty table gives no rows; other input columns are not read.
@@ -15,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, table, text_of
+from weftline.llm.common import carried, materialize, table, text_of
 
 CAPACITY = 2048
 BLOCK = 4096
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 6
-POPULATION = 4
+GENERATIONS = 60
+POPULATION = 8
+#: Blocks whose worst-filled sequences are packed together once more, and how many sequences all of them give, about.
+GATHER, POOL = 64, 2048
 END = 0
 #: Words whose ids a worker remembers.
 MEMORY = 800_000
@@ -119,11 +126,11 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str,
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pd.DataFrame({"doc_id": pd.array(docs_, dtype="Int64"), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+            yield pd.DataFrame({"doc_id": docs_, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    out = src.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    return out.withColumn("uid", F.monotonically_increasing_id())
+    src = docs.select(carried(F.col(id_col).cast("long")).alias("doc_id"), text_of(text_col).alias("text"))
+    out = src.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("uid", F.monotonically_increasing_id())
 
 
 class Bins:
@@ -172,41 +179,92 @@ def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
     return len(packing), -sum((used / capacity) ** 2 for _, used in packing)
 
 
+def _fill_up(kept: Packing, displaced: list[int], lengths: list[int], capacity: int) -> tuple[Packing, list[int]]:
+    """Exchange one document of a bin for a longer displaced one, or a displaced pair, that fits better; at most once a bin."""
+    by: dict[int, list[int]] = {}
+    for i in displaced:
+        by.setdefault(lengths[i], []).append(i)
+    sizes = sorted(by)
+    out = []
+    for items, used in kept:
+        room, best = capacity - used, None
+        if room and len(items) <= 16:
+            for at, i in enumerate(items):
+                most = lengths[i] + room
+                n = bisect_right(sizes, most) - 1
+                while n >= 0 and not by[sizes[n]]:
+                    n -= 1
+                if n >= 0 and sizes[n] > lengths[i] and (best is None or sizes[n] - lengths[i] > best[0]):
+                    best = (sizes[n] - lengths[i], at, (sizes[n],))
+                for m in range(n, max(-1, n - 12), -1):
+                    k = bisect_right(sizes, most - sizes[m]) - 1
+                    if k >= 0 and len(by[sizes[m]]) > (k == m) and by[sizes[k]] and sizes[m] + sizes[k] - lengths[i] > (best[0] if best else 0):
+                        best = (sizes[m] + sizes[k] - lengths[i], at, (sizes[m], sizes[k]))
+        if best:
+            gain, at, new = best
+            out_, items = items[at], items[:at] + items[at + 1 :] + [by[x].pop() for x in new]
+            by.setdefault(lengths[out_], []).append(out_)
+            if (n := bisect_right(sizes, lengths[out_])) == 0 or sizes[n - 1] != lengths[out_]:
+                sizes.insert(n, lengths[out_])
+            used += gain
+        out.append((items, used))
+    return out, [i for x in by.values() for i in x]
+
+
 def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Inject well-filled bins of ``a`` into ``b``; bins of ``b`` that hold one of their documents go, and what they held besides
-    comes back by best fit, longest first."""
-    full = [x for x in a if x[1] >= capacity - capacity // 256]
-    pool = full if len(full) >= 2 else sorted(a, key=lambda x: -x[1])[: max(1, len(a) // 4)]
-    at, n = rng.randrange(len(pool)), max(1, int(len(pool) * rng.uniform(0.3, 0.8)))
-    injected = (pool[at:] + pool[:at])[:n]
+    """Inject well-filled bins of ``a`` into ``b``; bins of ``b`` that hold one of their documents go, and so do its ill-filled ones;
+    what they held besides comes back by exchanges and by best fit, longest first."""
+    fill = sorted((used for _, used in a), reverse=True)
+    least = fill[int((len(fill) - 1) * rng.uniform(0.3, 0.9))]
+    pool = [x for x in a if x[1] >= least]
+    injected = rng.sample(pool, max(1, int(len(pool) * rng.uniform(0.3, 0.9))))
     inside = {i for items, _ in injected for i in items}
-    kept, displaced = list(injected), []
+    kept, displaced, ill = list(injected), [], sorted(used for _, used in b)[int((len(b) - 1) * rng.uniform(0.05, 0.5))]
     for items, used in b:
-        if inside.isdisjoint(items) and used >= capacity - capacity // 32:
+        if used > ill and inside.isdisjoint(items):
             kept.append((items, used))
         else:
             displaced += [i for i in items if i not in inside]
+    kept, displaced = _fill_up(kept, displaced, lengths, capacity)
     displaced.sort(key=lambda i: -lengths[i] + rng.random() * capacity * 0.02)
     return best_fit(displaced, lengths, capacity, kept)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Packing], generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing found; ``elites`` are packings that came from other islands and rounds."""
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Packing], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[Packing, int]:
+    """The best packing found, and after how many crossovers; ``elites`` are packings that came from other islands and rounds."""
     rng = random.Random(seed)
     bound = -(-sum(lengths) // capacity)
-    everyone = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    people = list(elites) or [best_fit(everyone, lengths, capacity)]
-    while len(people) < population and len(min(people, key=len)) > bound:
-        spread = rng.uniform(0.05, 0.5) * capacity
-        people.append(best_fit(sorted(everyone, key=lambda i: -lengths[i] + rng.random() * spread), lengths, capacity))
-    people.sort(key=lambda p: fitness(p, capacity))
-    for _ in range(generations):
-        if len(people[0]) <= bound or len(people) < 2:
-            break
-        i, j = rng.sample(range(len(people)), 2)
+    everyone = list(range(len(lengths)))
+    people, score = list(elites), lambda p: fitness(p, capacity)
+    while len(people) < population and (not people or len(min(people, key=len)) > bound):
+        people.append(best_fit(rng.sample(everyone, len(everyone)), lengths, capacity))
+    people.sort(key=score)
+    done = 0
+    while done < generations and len(people[0]) > bound:
+        if done == generations * 2 // 3:
+            people[-1] = best_fit(sorted(everyone, key=lambda i: -lengths[i]), lengths, capacity)
+            people.sort(key=score)
+        i, j = (min(rng.sample(range(len(people)), 2)) for _ in range(2))  # of two, the fitter one is a parent
+        if i == j:
+            i = (j + 1 + rng.randrange(len(people) - 1)) % len(people)
         child = crossover(people[i], people[j], lengths, capacity, rng)
-        people = sorted([*people[: population - 1], child], key=lambda p: fitness(p, capacity))
-    return people[0]
+        if score(child) not in {score(p) for p in people}:  # one of each kind
+            people = sorted([*people[: population - 1], child], key=score)
+        done += 1
+    return _settled(people[0], lengths, capacity, rng), done
+
+
+def _settled(packing: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
+    """The room that a packing leaves, gathered in few bins: documents of bins that are not full, and of some that are, go back
+    longest first, as long as that leaves no more bins and emptier ones."""
+    for share in (1.0, 0.8, 0.6, 0.4):
+        full = [x for x in packing if x[1] == capacity and rng.random() < share]
+        inside = {i for items, _ in full for i in items}
+        open_ = [i for items, _ in packing for i in items if i not in inside]
+        kept, open_ = _fill_up(full, open_, lengths, capacity)
+        child = best_fit(sorted(open_, key=lambda i: -lengths[i]), lengths, capacity, kept)
+        packing = min(packing, child, key=lambda p: fitness(p, capacity))
+    return packing
 
 
 def _bins_of(column: list[int]) -> Packing:
@@ -224,37 +282,62 @@ def _island(capacity: int, round_: int):
         elites = []
         if round_:
             elites = [[(items, sum(lengths[i] for i in items)) for items in _bins_of(list(column))] for column in zip(*pdf["elites"], strict=True)]
-        best = evolve(lengths, capacity, hash((int(block), int(island), round_)) & 0xFFFFFFFF, elites)
+        best, done = evolve(lengths, capacity, (int(block) * 1_000_003 + int(island) * 1009 + round_) & 0xFFFFFFFF, elites)
         place = np.empty(len(lengths), dtype=np.int32)
         for n, (items, _) in enumerate(best):
             place[items] = n
-        return pd.DataFrame({"block": block, "island": island, "uid": pdf["uid"], "length": pdf["length"], "bin": place, "n_bins": len(best)})
+        crossovers = done + (int(pdf["crossovers"].iloc[0]) if round_ else 0)
+        return pd.DataFrame({"block": block, "island": island, "uid": pdf["uid"], "length": pdf["length"], "bin": place, "n_bins": len(best), "crossovers": crossovers})
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, *, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` (a materialized table with uid and length) plus sequence_id and offset."""
-    n = pieces.count()
-    blocks = max(1, round(n / block))
-    light = pieces.select("uid", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("uid", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
-    state = light.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    schema = "block int, island int, uid long, length int, bin int, n_bins int"
+_STATE = "block long, island int, uid long, length int, bin int, n_bins int, crossovers int"
+
+
+def evolved(light: DataFrame, capacity: int, islands: int, rounds: int) -> DataFrame:
+    """The best packing of each block of ``light`` (uid, length, block), a row a piece, materialized."""
+    everywhere = F.explode(F.array(*[F.lit(i) for i in range(islands)]))
+    state = light.withColumn("island", everywhere)
     for r in range(rounds):
-        state = materialize(state.groupBy("block", "island").applyInPandas(_island(capacity, r), schema), f"pack-round{r}")
+        state = materialize(state.groupBy("block", "island").applyInPandas(_island(capacity, r), _STATE), f"pack-round{r}")
         if r + 1 < rounds:
-            elites = state.groupBy("block", "uid").agg(F.first("length").alias("length"), F.transform(F.sort_array(F.collect_list(F.struct("island", "bin"))), lambda x: x["bin"]).alias("elites"))
-            state = elites.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
+            elites = state.groupBy("block", "uid").agg(F.first("length").alias("length"), F.max("crossovers").alias("crossovers"), F.transform(F.sort_array(F.collect_list(F.struct("island", "bin"))), lambda x: x["bin"]).alias("elites"))
+            state = elites.withColumn("island", everywhere)
     # one row a block and island, as many as blocks: found by an aggregate, joined as a shuffle unless small
     best = state.groupBy("block").agg(F.min_by("island", F.struct("n_bins", "island")).alias("island"))
+    return state.join(best, ["block", "island"])
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _placed(worst: int):
+    """Pieces of a block with sequence and offset; ``open`` are those of its ``worst`` least filled sequences."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bin", "uid"], ignore_index=True)
-        total = pdf["length"].astype("int64").groupby(pdf["bin"]).cumsum()
-        return pd.DataFrame({"uid": pdf["uid"], "sequence_id": pdf["block"].astype("int64") * (1 << 32) + pdf["bin"], "offset": total - pdf["length"]})
+        length = pdf["length"].astype("int64")
+        total, used = length.groupby(pdf["bin"]).cumsum(), length.groupby(pdf["bin"]).sum()
+        open_ = pdf["bin"].isin(used.sort_values(kind="stable").index[:worst])
+        return pd.DataFrame({"uid": pdf["uid"], "length": pdf["length"], "block": pdf["block"], "sequence_id": pdf["block"].astype("int64") * (1 << 24) + pdf["bin"], "offset": total - length, "open": open_})
+
+    return run
+
 
-    placed = state.join(best, ["block", "island"]).groupBy("block").applyInPandas(place, "uid long, sequence_id long, offset long")
-    return pieces.join(placed, "uid").drop("uid")
+def pack(pieces: DataFrame, capacity: int = CAPACITY, *, block: int = BLOCK, islands: int = ISLANDS, rounds: int = ROUNDS, gather: int = GATHER, pool: int = POOL) -> DataFrame:
+    """``pieces`` (a materialized table with uid and length) plus sequence_id and offset."""
+    groups, base, placed = max(1, round(pieces.count() / block)), 0, None
+    light = pieces.select("uid", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64("uid", F.lit("block")), F.lit(groups)).alias("block"))
+    while True:
+        done = groups == 1
+        schema = "uid long, length int, block long, sequence_id long, offset long, open boolean"
+        now = evolved(light, capacity, islands, rounds).groupBy("block").applyInPandas(_placed(0 if done else max(1, pool // min(gather, groups))), schema)
+        if done:
+            rest = now.select("uid", "sequence_id", "offset")
+            return pieces.join(rest if placed is None else placed.unionByName(rest), "uid").drop("uid")
+        now = materialize(now, "pack-placed")
+        closed = now.where(~F.col("open")).select("uid", "sequence_id", "offset")
+        placed = closed if placed is None else placed.unionByName(closed)
+        before, base, groups = base, base + groups, -(-groups // gather)
+        light = now.where("open").select("uid", "length", (F.floor((F.col("block") - before) / gather) + base).alias("block"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
