@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.fuzzy_hash import op4_context_triggered_hashes
 from weftline.llm.html_text import op2_tag_path_text
-from weftline.llm.jaccard_join import op8_ngram_jaccard_join
+from weftline.llm.jaccard_join import ORACLE_OP8, op8_ngram_jaccard_join
 from weftline.llm.media_chunks import op10_content_defined_chunks
 from weftline.llm.mixing import op1_mix_sources
 from weftline.llm.packing import op6_grouping_genetic_packing
@@ -33,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op7_tool_call_linking": ORACLE_OP7}
+ORACLES: dict[str, str] = {"op5_url_filter": ORACLE_OP5, "op7_tool_call_linking": ORACLE_OP7, "op8_ngram_jaccard_join": ORACLE_OP8}
