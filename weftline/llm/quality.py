@@ -14,6 +14,8 @@ kept; an empty table gives no rows; other columns pass through the stage untouch
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +70,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", *, rows: i
     """Weights, and the rate of good documents among those trained on; None without labels of both kinds."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_wl_y"))
     sample = marked.withColumn("_wl_h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("_wl_h", "doc_id").limit(rows).select("doc_id", "_wl_y")
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("_wl_y", *[c.cast("double").alias(f"f{i}") for i, c in enumerate(text_statistics(text_of("text")))])
-    data = got.limit(2 * rows).toPandas().to_numpy(dtype=np.float64)  # twice: repeated rows of a sampled document
+    marks = F.struct(*[c.cast("double").alias(f"f{i}") for i, c in enumerate(text_statistics(text_of("text")))])
+    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_wl_y", marks.alias("f"))
+    got = got.groupBy("doc_id", "_wl_y").agg(F.min("f").alias("f")).orderBy("doc_id").select("_wl_y", "f.*")  # of a document's rows one, the same in each run
+    data = got.toPandas().to_numpy(dtype=np.float64)  # no more rows than the sample
     if not len(data) or data[:, 0].min() == data[:, 0].max():
         return None
     return fit_logistic(data[:, 1:], data[:, 0]), float(data[:, 0].mean())
@@ -113,15 +117,17 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, int]:
     return both.select("_wl_host", "_wl_path", clip(F.col("host_posterior")).alias("_wl_hp"), clip(post).alias("_wl_pp")), paths.count()
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", host: Column | None = None, path: Column | None = None, reject_below: float = REJECT_BELOW, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` plus _wl_evidence, _wl_hp, _wl_pp (host and path posteriors), _wl_score (probability of good) and _wl_keep."""
+def classify(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", host: Column | None = None, path: Column | None = None, reject_below: float = REJECT_BELOW, train_rows: int = TRAIN_ROWS, carry: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs``, all if None, plus _wl_evidence, _wl_hp, _wl_pp (host and path posteriors), _wl_score (probability
+    of good) and _wl_keep. What is carried is written with its evidence once, so no text is measured twice."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = train(docs, labels, rows=train_rows)
     own = evidence(text_of(text_col), *model) if model else F.lit(0.0)
     prior = float(np.log(model[1] / (1 - model[1]))) if model else 0.0
     site = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
-    rows = docs.withColumns({"_wl_evidence": own, "_wl_host": site(host), "_wl_path": site(path)})
+    carried = named(docs.columns if carry is None else list(carry))
+    rows = materialize(docs.select(*carried, own.alias("_wl_evidence"), site(host).alias("_wl_host"), site(path).alias("_wl_path")), "quality-evidence")
     sites, n = site_posteriors(rows.select("_wl_host", "_wl_path", (1 / (1 + F.exp(-(F.col("_wl_evidence") + prior)))).alias("_wl_p")))
     score = 1 / (1 + F.exp(-(F.col("_wl_evidence") + _logit(F.col("_wl_pp")))))
     out = rows.join(small(sites, n), ["_wl_host", "_wl_path"]).withColumn("_wl_score", score)
@@ -130,7 +136,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", host
 
 def op9_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, posteriors, score and decision for every document."""
-    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return out.select("doc_id", F.col("_wl_evidence").alias("evidence"), F.col("_wl_hp").alias("host_posterior"), F.col("_wl_pp").alias("path_posterior"), F.col("_wl_score").alias("score"), F.col("_wl_keep").alias("keep"))
 
 
