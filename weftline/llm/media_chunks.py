@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, partitions, scratch_dir, shuffle_files_dropped, small, table, text_of
+from weftline.llm.common import carried, join_hot, materialize, partitions, scratch_dir, shuffle_files_dropped, small, table, text_of
 
 ROW = 64
 LEAST, MOST, BITS = 2048, 32768, 12
@@ -39,7 +39,7 @@ DIGEST = 16
 LEVEL = 9
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 _RATE = 8000
-#: References that one copy of a stored chunk serves; a chunk with more gets salted copies.
+#: References that one copy of a stored chunk, or rows that one copy of a file's features serves; those with more get salted copies.
 PER_COPY = 2000
 
 
@@ -103,9 +103,7 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             media = wav(payload)
             whole, digests = hashlib.sha256(media).digest(), [d for d, _ in _pieces(media)]
             rows += [(whole, seq, len(digests), d, n, doc) for seq, d in enumerate(digests)]
-        out = pd.DataFrame(rows, columns=names)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+        yield pd.DataFrame(rows, columns=names)
 
 
 def _contents(dictionary: bytes):
@@ -143,11 +141,12 @@ def _decompressor(dictionary: bytes):
 
 
 def train_dictionary(texts: DataFrame, rows: int, size: int) -> bytes:
-    """A compression dictionary from the chunks of at most ``rows`` texts; empty if there are too few. It changes no result: any
-    dictionary gives every chunk back."""
+    """A compression dictionary from the beginnings of the ``rows`` texts of least hash, the same in each run; empty if there are too
+    few. It changes no result: any dictionary gives every chunk back."""
     import zstandard
 
-    chunks = [piece for r in texts.limit(rows).select(F.left("text", F.lit(8192)).alias("text")).collect() for _, piece in _pieces(wav(payload_of(r["text"])[0]))]
+    sample = texts.select(F.left("text", F.lit(8192)).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "text").limit(rows)
+    chunks = [piece for r in sample.collect() for _, piece in _pieces(wav(payload_of(r["text"])[0]))]
     try:
         return zstandard.train_dictionary(size, chunks).as_bytes() if len(chunks) >= 100 else b""
     except zstandard.ZstdError:
@@ -241,14 +240,17 @@ def read_back(lists: DataFrame, store: ChunkStore) -> DataFrame:
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dictionary_rows: int = 1000, dictionary_bytes: int = 112_640) -> DataFrame:
     """doc_id and what was read back of its media: sizes, digests and features."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    lists = materialize(src.mapInPandas(_lists, "whole binary, seq int, n_seq int, digest binary, n_bytes long, doc_id long"), "media-lists")
+    src = docs.select(carried(F.col(id_col).cast("long")).alias("doc_id"), text_of(text_col).alias("text"))
+    lists = materialize(src.mapInPandas(_lists, "whole binary, seq int, n_seq int, digest binary, n_bytes long, doc_id string"), "media-lists")
     store = ChunkStore(docs.sparkSession, train_dictionary(src, dictionary_rows, dictionary_bytes))
     store.write(src.select("text").mapInPandas(_contents(store.dictionary), "digest binary, data binary"))
     with shuffle_files_dropped(docs.sparkSession):
         read = materialize(read_back(lists, store), "media-read")
+    store.drop()  # a lost driver leaves no table behind from here on
     hexed = lambda c: F.lower(F.hex(c))
-    out = lists.where("seq = 0").select("doc_id", "whole", "n_bytes").join(read, "whole")
+    mine = lists.where("seq = 0").select(F.col("doc_id").cast("long").alias("doc_id"), "whole", "n_bytes")
+    hot = materialize(mine.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_COPY), "media-copies")
+    out = join_hot(mine, read, "whole", hot, hot.count())
     return out.select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("whole").alias("media_sha256"), "feature")
 
 
