@@ -64,12 +64,14 @@ def schema_error(name: Column, arguments: Column, schemas: Mapping[str, Mapping[
 
 
 def _steps(calls: Column) -> Column:
-    """For each call of one message the longest chain of its own calls before it; as many as there are calls means a cycle."""
+    """For each call of one message the longest chain of its own calls before it; as many as there are calls means a cycle. Levels are
+    raised until they stay as they are, after as many rounds as the longest chain has calls; the rounds left then cost nothing."""
     n = F.size(calls)
-    relax = lambda levels, _: F.transform(
-        calls, lambda c: F.least(n, F.coalesce(F.array_max(F.transform(F.filter(F.arrays_zip(calls.getField("id").alias("id"), levels.alias("level")), lambda z: F.array_contains(c["after"], z["id"])), lambda z: z["level"] + 1)), F.lit(0)))
-    )
-    return F.aggregate(F.sequence(F.lit(1), n), F.transform(calls, lambda _: F.lit(0)), relax)
+    level = lambda c, levels: F.array_max(F.transform(F.filter(F.arrays_zip(calls.getField("id").alias("id"), levels.alias("level")), lambda z: F.array_contains(c["after"], z["id"])), lambda z: z["level"] + 1))
+    raised = lambda levels: F.transform(calls, lambda c: F.least(n, F.coalesce(level(c, levels), F.lit(0))))
+    step = lambda at: F.get(F.transform(F.array(raised(at["levels"])), lambda x: F.struct(x.alias("levels"), (x != at["levels"]).alias("moved"))), F.lit(0))
+    start = F.struct(F.transform(calls, lambda _: F.lit(0)).alias("levels"), F.lit(True).alias("moved"))
+    return F.aggregate(F.sequence(F.lit(1), n), start, lambda at, _: F.when(at["moved"], step(at)).otherwise(at), lambda at: at["levels"])
 
 
 def _own_id(back: int) -> Column:
@@ -113,7 +115,7 @@ def link_calls(messages: DataFrame, schemas: Mapping[str, Mapping[str, Mapping]]
     order = needs.join(where, ["conv_id", "call_id"], "left").withColumn("bad", F.when(F.col("at").isNull(), F.concat(F.lit("no call "), F.col("call_id"))).when(F.col("at") > F.col("turn"), F.concat(F.lit("later call "), F.col("call_id"))))
     # which of a call's needs fail: its own list against those of its message's turn
     bad = order.where("bad is not null").groupBy("conv_id", "turn").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("call_id", "bad")))).alias("bad"))
-    linked = calls.join(first, ["conv_id", "call_id"], "left").join(bad, ["conv_id", "turn"], "left")
+    linked = calls.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(bad, ["conv_id", "turn"], "left")
     unmet = F.array_min(F.transform("after", lambda a: F.element_at("bad", a)))
     error = F.coalesce(
         schema_error(F.col("name"), F.col("arguments"), schemas), F.when(F.col("step") >= F.col("n_calls"), F.lit("cycle")), unmet, F.when(F.col("r").isNull(), F.lit("no result"))
