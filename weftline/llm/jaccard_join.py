@@ -6,9 +6,10 @@ signatures are compared a few values at a time, and it is dropped as soon as the
 similarity reaches the threshold is below the tolerance. The rest is verified exactly on the shingle sets of the whole texts.
 
 Buckets of up to BUCKET texts give their pairs. The texts of larger buckets are dealt into blocks, first by a bucket that they have in
-common, and two blocks meet in a task if a large bucket has texts of both: the task prunes on the signatures alone, then gets the whole
-texts of what is left, and gives back link counts and a spanning forest, never its pairs. So what is written grows with the documents
-and their blocks, not with the pairs of a group.
+common, and two blocks meet in a task if a large bucket has texts of both: one job prunes on the signatures alone, a second gets the
+whole texts of what is left, and gives back link counts and a spanning forest, never its pairs. A block holds up to BLOCK texts and
+BLOCK_SHINGLES shingles, what a task's memory allows for two, and is compared PIECE by PIECE texts inside the task; so a group of N
+different near copies is sent N / BLOCK times, while counting its links exactly takes comparisons that grow with the square of N.
 
 Recall: a pair of similarity s shares no band with probability (1 - s^6)^30, 1.1e-4 at the threshold of 0.8 and 1e-10 at 0.9; the
 pruning adds the tolerance, 1e-5. What is found is exact. Measured against an exact join: all links at sf0.01 and sf0.1.
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import PER_COPY, join_hot, materialize, named, table, text_of
+from weftline.llm.common import PER_COPY, join_hot, materialize, named, small, table, text_of
 from weftline.llm.components import components
 
 SHINGLE = 5
@@ -39,7 +40,8 @@ STEP = 30
 #: A pair is dropped when its similarity reaches the threshold with less than this probability.
 TOLERANCE = 1e-5
 BUCKET = 32
-BLOCK = 512
+#: Texts and shingles of a block, and texts that a task compares at once.
+BLOCK, BLOCK_SHINGLES, PIECE = 4096, 2_000_000, 512
 #: A list of (id, key) rows is broadcast up to this many of them.
 LISTED = 100_000
 
@@ -171,45 +173,54 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[good, ["a", "b"]]
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: products of the incidence matrix, a few thousand shingles at a time."""
-    sizes = [len(s) for s in sets]
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    often = np.flatnonzero(np.bincount(column, minlength=len(values)) > 1)
-    place = np.full(len(values), -1)
-    place[often] = np.arange(len(often))
-    column = place[column]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for at in range(0, len(often), 4096):
-        lo, hi = np.searchsorted(column, [at, at + 4096])
-        part = np.zeros((len(sets), min(4096, len(often) - at)), dtype=np.float32)
-        part[row[lo:hi], column[lo:hi] - at] = 1
-        out += part @ part.T
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of ``left`` with each of ``right``: products of the incidence matrices, a few thousand
+    shingles at a time."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    values = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for sets, every in ((left, x), (right, y)):
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(values, every)
+        there = (column < len(values)) & (values[np.minimum(column, len(values) - 1)] == every) if len(values) else np.zeros(len(every), dtype=bool)
+        row, column = row[there], column[there]
+        order = np.argsort(column, kind="stable")
+        sides.append((len(sets), row[order], column[order]))
+    for at in range(0, len(values), 4096):
+        parts = []
+        for n, row, column in sides:
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((n, min(4096, len(values) - at)), dtype=np.float32)
+            part[row[lo:hi], column[lo:hi] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
     return out
 
 
-def _alive(pdf: pd.DataFrame, one: int, two: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the pairs between two blocks, or inside one, that survive the pruning."""
+def _alive(pdf: pd.DataFrame, one: int, two: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs between two blocks, or inside one, that survive the pruning; for PIECE by PIECE texts at a time."""
     sig, block = _matrix(pdf["sig"]), pdf["block"].to_numpy()
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    pairs_i, pairs_j = [], []
-    for i in left:
-        others = right[right > i] if one == two else right
-        alive = others[survivors(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others])]
-        pairs_i.append(np.full(len(alive), i))
-        pairs_j.append(alive)
-    return pairs_i, pairs_j
+    sides = [np.flatnonzero(block == x) for x in (one, two)]
+    left, right = ([side[at : at + PIECE] for at in range(0, len(side), PIECE)] for side in sides)
+    for m, rows in enumerate(left):
+        for columns in right[m:] if one == two else right:
+            found_i, found_j = [], []
+            for i in rows:
+                others = columns[columns > i] if one == two else columns
+                alive = others[survivors(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others])]
+                found_i.append(np.full(len(alive), i))
+                found_j.append(alive)
+            i, j = np.concatenate(found_i), np.concatenate(found_j)
+            if len(i):
+                yield i.astype(np.int64), j.astype(np.int64)
 
 
 def _block_survivors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """The texts of a task that have a partner left."""
     pdf = pdf.sort_values("node", ignore_index=True)
-    i, j = _alive(pdf, *key)
-    used = np.unique(np.concatenate([*i, *j])).astype(np.int64) if i else np.zeros(0, dtype=np.int64)
+    used = np.zeros(len(pdf), dtype=bool)
+    for i, j in _alive(pdf, *key):
+        used[i] = used[j] = True
     return pd.DataFrame({"one": key[0], "two": key[1], "node": pdf["node"].to_numpy()[used]})
 
 
@@ -217,28 +228,23 @@ def _block_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the two blocks of a task (or inside its one block): a count for each text, and a spanning forest."""
     pdf = pdf.sort_values("node", ignore_index=True)
     copies, node = pdf["copies"].to_numpy(), pdf["node"].to_numpy()
-    pairs_i, pairs_j = _alive(pdf, *key)
-    i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (pairs_i, pairs_j))
+    sets = [shingles_of(t) for t in pdf["text"]]
+    size = np.array([len(s) for s in sets])
     links, root = np.zeros(len(pdf), dtype=np.int64), np.arange(len(pdf))
-    if len(i):
-        used = np.unique(np.concatenate([i, j]))
-        back = np.zeros(len(pdf), dtype=np.int64)
-        back[used] = np.arange(len(used))
-        sets = [shingles_of(pdf["text"].iat[u]) for u in used]
-        size = np.array([len(s) for s in sets])
-        common = _common(sets)[back[i], back[j]]
-        good = reaches(common, size[back[i]] + size[back[j]] - common)
+    for i, j in _alive(pdf, *key):
+        (rows, at), (columns, to) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        common = _common([sets[x] for x in rows], [sets[x] for x in columns])[at, to]
+        good = reaches(common, size[i] + size[j] - common)
         i, j = i[good], j[good]
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
+        links += np.bincount(i, copies[j], len(pdf)).astype(np.int64) + np.bincount(j, copies[i], len(pdf)).astype(np.int64)
         while True:
             low = np.minimum(root[i], root[j])
-            before = root.copy()
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            root = root[root]
-            if (root == before).all():
+            if (low == root[i]).all() and (low == root[j]).all():
                 break
+            np.minimum.at(root, root[i], low)
+            np.minimum.at(root, root[j], low)
+            while not (root[root] == root).all():
+                root = root[root]
     out = pd.DataFrame({"node": node, "links": links, "root": node[root]})
     return out[(out["links"] > 0) | (out["root"] != out["node"])]
 
@@ -251,7 +257,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     signed = materialize(src.mapInPandas(_sign, "id long, raw long, none boolean, key binary, n int, sig binary").withColumn("uid", F.monotonically_increasing_id()), "join-signatures")
     texts = materialize(signed.groupBy("key").agg(F.min("uid").alias("node"), F.min(F.struct("id", "raw")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "join-texts")
     light = texts.select("node", "key", "first", "copies")
-    reps = materialize(signed.select("uid", "sig").join(texts.where("n > 0").select(F.col("node").alias("uid"), "copies"), "uid").withColumnRenamed("uid", "node"), "join-reps")
+    reps = materialize(signed.select("uid", "sig").join(texts.where("n > 0").select(F.col("node").alias("uid"), "copies", "n"), "uid").withColumnRenamed("uid", "node"), "join-reps")
 
     keys = F.array(*[F.struct(F.lit(k).cast("byte").alias("band"), F.xxhash64(F.substring("sig", k * ROWS * 4 + 1, ROWS * 4)).alias("bucket")) for k in range(BANDS)])
     bands = reps.select("node", F.explode(keys).alias("x")).select("node", "x.band", "x.bucket")
@@ -260,7 +266,8 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     large = shared.where(F.col("size") > BUCKET)
     blocks = tasks = None
     if large.limit(1).count():
-        blocks, tasks = _tasks(large)
+        blocks, tasks = _tasks(large, reps.select("node", "n"))
+        dealt = materialize(reps.join(small(blocks, blocks.count()), "node").select("node", "block", "copies", "sig"), "join-dealt")
 
     members = shared.where(F.col("size") <= BUCKET).select("node", "band", "bucket")
     members = members.join(blocks, "node", "left") if blocks is not None else members.withColumn("block", F.lit(None).cast("long"))
@@ -275,8 +282,8 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     wanted = pruned.select(F.explode(F.array("a", "b")).alias("node"))
     if tasks is not None:
         either = tasks.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block"))
-        inside = either.join(blocks, "block").join(reps, "node")
-        left = materialize(inside.select("one", "two", "block", "node", "sig").groupBy("one", "two").applyInPandas(_block_survivors, "one long, two long, node long"), "join-survivors")
+        inside = either.join(dealt.select("block", "node", "sig"), "block")
+        left = materialize(inside.groupBy("one", "two").applyInPandas(_block_survivors, "one long, two long, node long"), "join-survivors")
         wanted = wanted.unionByName(left.select("node"))
     wanted = materialize(wanted.distinct().join(light, "node").select("node", "first.id", "first.raw"), "join-wanted")
     listed = F.broadcast(wanted) if wanted.count() <= LISTED else wanted
@@ -289,7 +296,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     counts = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
     edges = links
     if tasks is not None:
-        whole = left.join(blocks, "node").join(reps, "node").join(sets, "node")
+        whole = left.join(dealt.join(sets, "node"), "node")
         found = materialize(whole.groupBy("one", "two").applyInPandas(_block_links, "node long, links long, root long"), "join-blocks")
         counts = counts.unionByName(found.groupBy("node").agg(F.sum("links").alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
         edges = links.unionByName(found.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
@@ -300,13 +307,26 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return signed.select("id", "none", "key"), named.drop("first"), classes.select("class", F.col("first.id").alias("class_id"), F.col("first.raw").alias("class_raw"))
 
 
-def _tasks(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, tasks) of rows (node, band, bucket) of large buckets. blocks: the block of each node, texts of one bucket first; tasks:
-    the pairs of blocks, one <= two, that some bucket has texts of both of."""
-    home = large.groupBy("node").agg(F.min(F.struct("band", "bucket")).alias("home"))
-    sized = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    block = F.xxhash64("home.band", "home.bucket", F.pmod(F.xxhash64("node"), F.col("blocks")))  # should two get one number, they are one block
-    blocks = materialize(home.join(sized, "home").select("node", block.alias("block")), "join-dealt")
+def _tasks(large: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, tasks) of rows (node, band, bucket) of large buckets and the shingles n of nodes. blocks: the block of each node; tasks:
+    the pairs of blocks, one <= two, that some bucket has texts of both of.
+
+    A node's home is its first bucket. Homes of many texts are blocks of their own, or several; small ones that buckets connect share
+    blocks, so that blocks are full and a group's texts meet in few tasks."""
+    home = large.groupBy("node").agg(F.min(F.struct("band", "bucket")).alias("x")).select("node", F.xxhash64("x.band", "x.bucket").alias("home"))
+    home = materialize(home.join(sizes, "node"), "join-home")
+    part = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    homes = materialize(home.groupBy("home").agg(part.alias("part")), "join-homes")
+    n_homes = homes.count()
+    at = materialize(large.join(home.select("node", "home"), "node").select("band", "bucket", "home").distinct(), "join-at")
+    first = at.groupBy("band", "bucket").agg(F.min("home").alias("a"))
+    found = components(at.join(first, ["band", "bucket"]).where("a <> home").select("a", F.col("home").alias("b")))
+    homes = homes.join(small(found.withColumnRenamed("node", "home"), n_homes), "home", "left").withColumn("group", F.coalesce("component", "home"))
+    shared = homes.where("part < 0.5").groupBy("group").agg(F.ceil(F.sum("part")).alias("pool"))
+    homes = homes.join(small(shared, n_homes), "group", "left")
+    own = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil("part")))
+    block = F.when(F.col("part") < 0.5, F.xxhash64(F.lit("shared"), "group", F.pmod("home", F.col("pool")))).otherwise(own)  # should two get one number, they are one block
+    blocks = materialize(home.join(small(homes, n_homes), "home").select("node", block.alias("block")), "join-blocked")
     held = materialize(large.join(blocks, "node").select("band", "bucket", "block").distinct(), "join-held")
     pairs = held.join(held.withColumnRenamed("block", "other"), ["band", "bucket"]).where("block <= other")
     return blocks, materialize(pairs.select(F.col("block").alias("one"), F.col("other").alias("two")).distinct(), "join-tasks")
