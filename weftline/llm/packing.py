@@ -6,7 +6,7 @@ population starts from best fit in random orders. Crossover injects whole well-f
 drops the bins that they duplicate and the ill-filled ones, fills the remaining bins up by exchanging some of their documents for
 displaced ones, and puts the displaced documents back by best fit. Between the rounds an island's elite moves to all islands of the
 block, and at the end the packing with the fewest sequences is kept. A population that reaches the lower bound (words of the block by
-capacity, rounded up) stops; one that has not done so after two thirds of its generations takes in the best-fit decreasing packing, so
+capacity, rounded up) stops; one that has not done so after half of its generations takes in the best-fit decreasing packing, so
 no result has more sequences than that one. Blocks each waste a part of a sequence, so the worst-filled sequences of GATHER blocks at
 a time are opened and packed once more in the same way, until one group is left.
 
@@ -33,25 +33,29 @@ CAPACITY = 2048
 BLOCK = 4096
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 60
-POPULATION = 8
+#: Of the first round; the second has half as many.
+GENERATIONS = 16
+POPULATION = 5
 #: Blocks whose worst-filled sequences are packed together once more, and how many sequences all of them give, about.
 GATHER, POOL = 64, 2048
 END = 0
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, half of them those that were asked for last.
 MEMORY = 800_000
+#: Characters of the texts that are tokenized together, about.
+TOGETHER = 8_000_000
 #: Letters that are letters to every library, in lower case and composed; with ASCII they make up the texts that are looked up.
 _LETTERS = "a-zß-öø-įı-ɏ"
-#: The tokenizer's own pre-tokens, for such texts.
-_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
-_OTHER = re.compile(f"[^\\t-\\r -~{_LETTERS}]|<\\|")
+#: Of the tokenizer's own pre-tokens, for such texts, all but runs of letters.
+_MARKS = f"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\t-\\r {_LETTERS}0-9]+)"
+_OTHER = re.compile(f"[^!-~{_LETTERS}]|<\\|")
 
 
 class WordTokenizer:
     """Token ids, pre-token by pre-token: those seen before are looked up, the others are encoded.
 
-    New words are encoded many in one text; the vocabulary marks a word's last token, which tells them apart again. Texts with
-    characters on whose nature libraries may differ, or with special tokens, are encoded whole."""
+    Texts are cut into pre-tokens many at a time, and only the different ones of them are seen by Python. New words are encoded many in
+    one text; the vocabulary marks a word's last token, which tells them apart again. Texts with characters on whose nature libraries
+    may differ, or with special tokens, are encoded whole."""
 
     def __init__(self, path: str):
         import os
@@ -63,15 +67,28 @@ class WordTokenizer:
         self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         for token, n in self.tok.get_vocab().items():
             self.last[n] = token.endswith("</w>")
+        self.plain = self._without_rules(path)
         self.runs: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+
+    def _without_rules(self, path: str):
+        """The tokenizer without its normalizer and pattern, which leave words of a-z alone; itself where that is not so."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = Tokenizer.from_file(path)
+        plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        words = "a the tokenizer zzzz qxj " + "abcdefghijklmnopqrstuvwxyz" * 3
+        same = plain.encode(words, add_special_tokens=False).ids == self.tok.encode(words, add_special_tokens=False).ids
+        return plain if same else self.tok
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str], tok) -> None:
         for at in range(0, len(words), 256):
             part = words[at : at + 256]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 self.runs.update(zip(part, self._encode(part), strict=True))
@@ -81,23 +98,61 @@ class WordTokenizer:
                 self.runs[word] = data[start:end]
                 start = end
 
-    def learn(self, new: set[str]) -> None:
-        words = [r for r in new if r[0].isalpha()]
+    def _of(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; none for the odd ones, that only their whole text tells."""
+        if len(self.runs) + len(self.odd) > MEMORY // 2:
+            for w in self.odd:
+                self.runs.pop(w, None)
+            self.runs, self.before, self.odd = {}, self.runs, set()
+        self.runs[""] = b""
+        new = set(words).difference(self.runs)
+        again = new.intersection(self.before)
+        self.runs.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        new -= again
+        odd = {r for r in new if _OTHER.search(r)}
+        self.odd |= odd
+        self.runs.update(dict.fromkeys(odd, b""))
+        new -= odd
+        words_ = [r for r in new if r[0].isalpha()]
+        self._learn_words([r for r in words_ if r.isascii()], self.plain)
+        self._learn_words([r for r in words_ if not r.isascii()], self.tok)
         rest = [r for r in new if not r[0].isalpha()]
-        self._learn_words(words)
         self.runs.update(zip(rest, self._encode(rest), strict=True))
+        return list(map(self.runs.__getitem__, words))
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        low = pa.array([t.lower() for t in texts], pa.string())
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(low, pattern=_MARKS, replacement=r" \1 "))
+        coded = cut.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self._of(words)
+        place, ends = coded.indices.to_numpy(), cut.offsets.to_numpy()
+        sizes = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4
+        every = np.frombuffer(b"".join(known), dtype="<u4")
+        size = sizes[place]
+        upto = np.zeros(len(size) + 1, dtype=np.int32)  # tokens are no more than bytes of TOGETHER and one text
+        np.cumsum(size, out=upto[1:])
+        at = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[place] - upto[:-1], size)
+        at += np.arange(upto[-1], dtype=np.int32)
+        ids = every[at]
+        strange = np.fromiter((w in self.odd for w in words), dtype=bool, count=len(words))
+        strange = set((np.searchsorted(ends, np.flatnonzero(strange[place]), side="right") - 1).tolist()) if strange.any() else set()
+        at = upto[ends].tolist()
+        for n, text in enumerate(texts):
+            yield self._encode([text])[0] if n in strange else ids[at[n] : at[n + 1]].tobytes()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for at in range(0, len(texts), 256):
-            part = [(t, None if _OTHER.search(low := t.lower()) or "İ" in t else _RUNS.findall(low)) for t in texts[at : at + 256]]
-            new = set().union(*[r for _, r in part if r is not None]).difference(self.runs)
-            if len(self.runs) > MEMORY:
-                self.runs, new = {}, set().union(*[r for _, r in part if r is not None])
-            self.learn(new)
-            get = self.runs.__getitem__
-            for t, r in part:
-                yield self._encode([t])[0] if r is None else b"".join(map(get, r))
+        start = held = 0
+        for n, text in enumerate(texts):
+            if n > start and held + len(text) > TOGETHER:
+                yield from self._together(texts[start:n])
+                start, held = n, 0
+            held += len(text)
+        yield from self._together(texts[start:])
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -176,7 +231,7 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, given: Packing
 
 def fitness(packing: Packing, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then bins that are full or empty rather than all alike; less is better."""
-    return len(packing), -sum((used / capacity) ** 2 for _, used in packing)
+    return len(packing), -sum(used * used for _, used in packing) / capacity**2
 
 
 def _fill_up(kept: Packing, displaced: list[int], lengths: list[int], capacity: int) -> tuple[Packing, list[int]]:
@@ -196,7 +251,7 @@ def _fill_up(kept: Packing, displaced: list[int], lengths: list[int], capacity:
                     n -= 1
                 if n >= 0 and sizes[n] > lengths[i] and (best is None or sizes[n] - lengths[i] > best[0]):
                     best = (sizes[n] - lengths[i], at, (sizes[n],))
-                for m in range(n, max(-1, n - 12), -1):
+                for m in range(n, max(-1, n - 4), -1):
                     k = bisect_right(sizes, most - sizes[m]) - 1
                     if k >= 0 and len(by[sizes[m]]) > (k == m) and by[sizes[k]] and sizes[m] + sizes[k] - lengths[i] > (best[0] if best else 0):
                         best = (sizes[m] + sizes[k] - lengths[i], at, (sizes[m], sizes[k]))
@@ -215,18 +270,23 @@ def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: ra
     """Inject well-filled bins of ``a`` into ``b``; bins of ``b`` that hold one of their documents go, and so do its ill-filled ones;
     what they held besides comes back by exchanges and by best fit, longest first."""
     fill = sorted((used for _, used in a), reverse=True)
-    least = fill[int((len(fill) - 1) * rng.uniform(0.3, 0.9))]
+    exact = capacity - rng.choice((0, 0, 1, capacity // 512))
+    least = exact if fill[len(fill) // 8] >= exact else fill[int((len(fill) - 1) * rng.uniform(0.3, 0.9))]
     pool = [x for x in a if x[1] >= least]
-    injected = rng.sample(pool, max(1, int(len(pool) * rng.uniform(0.3, 0.9))))
+    many = sorted(len(x[0]) for x in pool)[int((len(pool) - 1) * rng.choice((0.5, 0.75, 1.0)))]  # bins of few documents leave small ones to fill gaps
+    pool = [x for x in pool if len(x[0]) <= many]
+    injected = rng.sample(pool, max(1, int(len(pool) * rng.uniform(0.5, 1.0))))
     inside = {i for items, _ in injected for i in items}
-    kept, displaced, ill = list(injected), [], sorted(used for _, used in b)[int((len(b) - 1) * rng.uniform(0.05, 0.5))]
+    well = exact if least == exact else sorted(used for _, used in b)[int((len(b) - 1) * rng.uniform(0.05, 0.5))] + 1
+    kept, displaced = list(injected), []
     for items, used in b:
-        if used > ill and inside.isdisjoint(items):
+        if used >= well and len(items) <= many and inside.isdisjoint(items):
             kept.append((items, used))
         else:
             displaced += [i for i in items if i not in inside]
     kept, displaced = _fill_up(kept, displaced, lengths, capacity)
-    displaced.sort(key=lambda i: -lengths[i] + rng.random() * capacity * 0.02)
+    spread = rng.choice((0.0, 0.002, 0.02)) * capacity
+    displaced.sort(key=lambda i: -lengths[i] + rng.random() * spread)
     return best_fit(displaced, lengths, capacity, kept)
 
 
@@ -235,29 +295,35 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Packing],
     rng = random.Random(seed)
     bound = -(-sum(lengths) // capacity)
     everyone = list(range(len(lengths)))
-    people, score = list(elites), lambda p: fitness(p, capacity)
-    while len(people) < population and (not people or len(min(people, key=len)) > bound):
-        people.append(best_fit(rng.sample(everyone, len(everyone)), lengths, capacity))
-    people.sort(key=score)
+    scored = lambda p: (fitness(p, capacity), p)
+    people = [scored(p) for p in elites]
+    while len(people) < population and (not people or min(people, key=_score)[0][0] > bound):
+        people.append(scored(best_fit(rng.sample(everyone, len(everyone)), lengths, capacity)))
+    people.sort(key=_score)
     done = 0
-    while done < generations and len(people[0]) > bound:
-        if done == generations * 2 // 3:
-            people[-1] = best_fit(sorted(everyone, key=lambda i: -lengths[i]), lengths, capacity)
-            people.sort(key=score)
+    while done < generations and people[0][0][0] > bound:
+        if done == generations // 2:
+            people[-1] = scored(best_fit(sorted(everyone, key=lambda i: -lengths[i]), lengths, capacity))
+            people.sort(key=_score)
         i, j = (min(rng.sample(range(len(people)), 2)) for _ in range(2))  # of two, the fitter one is a parent
         if i == j:
             i = (j + 1 + rng.randrange(len(people) - 1)) % len(people)
-        child = crossover(people[i], people[j], lengths, capacity, rng)
-        if score(child) not in {score(p) for p in people}:  # one of each kind
-            people = sorted([*people[: population - 1], child], key=score)
+        child = scored(crossover(people[i][1], people[j][1], lengths, capacity, rng))
+        if all(child[0] != p[0] for p in people):  # one of each kind
+            people = sorted([*people[: population - 1], child], key=_score)
         done += 1
-    return _settled(people[0], lengths, capacity, rng), done
+    best = people[0][1]
+    return (_settled(best, lengths, capacity, rng) if done or not elites else best), done
+
+
+def _score(person: tuple) -> tuple:
+    return person[0]
 
 
 def _settled(packing: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """The room that a packing leaves, gathered in few bins: documents of bins that are not full, and of some that are, go back
     longest first, as long as that leaves no more bins and emptier ones."""
-    for share in (1.0, 0.8, 0.6, 0.4):
+    for share in (1.0, 0.7):
         full = [x for x in packing if x[1] == capacity and rng.random() < share]
         inside = {i for items, _ in full for i in items}
         open_ = [i for items, _ in packing for i in items if i not in inside]
@@ -282,7 +348,7 @@ def _island(capacity: int, round_: int):
         elites = []
         if round_:
             elites = [[(items, sum(lengths[i] for i in items)) for items in _bins_of(list(column))] for column in zip(*pdf["elites"], strict=True)]
-        best, done = evolve(lengths, capacity, (int(block) * 1_000_003 + int(island) * 1009 + round_) & 0xFFFFFFFF, elites)
+        best, done = evolve(lengths, capacity, (int(block) * 1_000_003 + int(island) * 1009 + round_) & 0xFFFFFFFF, elites, GENERATIONS // (round_ + 1))
         place = np.empty(len(lengths), dtype=np.int32)
         for n, (items, _) in enumerate(best):
             place[items] = n
