@@ -514,6 +514,19 @@ def test_packing(docs, empty):
     assert packing.packing_stage(docs.sparkSession, odd, DATA).where("piece = 0").count() == 9
 
 
+def test_tokens_are_the_tokenizers():
+    """Looked up and pieced together, ids are those of the tokenizer, also when the memory of words is short."""
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    rng, some = random.Random(1), "abz é ' s t re'll 'd0 19 <| |> \t\n\x0b\x1c \xa0 ß ſ Ⅷ İ ŉ ǰ ﬁ . , -- “ ” \u212a Å"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", " ", "<|endoftext|> x"]
+    want = tok._encode(texts)
+    before, packing.MEMORY, packing.TOGETHER = (packing.MEMORY, packing.TOGETHER), 400, 2000
+    try:
+        assert list(tok.ids(texts)) == want == list(tok.ids(texts))
+    finally:
+        packing.MEMORY, packing.TOGETHER = before
+
+
 def test_packing_evolves():
     """Three documents a sequence: fewer sequences than best-fit decreasing, by crossovers; and crossovers in easy cases, too."""
     for seed in range(4):
@@ -524,7 +537,7 @@ def test_packing_evolves():
             lengths += [a, b, 2048 - a - b]
         rng.shuffle(lengths)
         decreasing = packing.best_fit(sorted(range(60), key=lambda i: -lengths[i]), lengths, 2048)
-        best, crossovers = packing.evolve(lengths, 2048, seed, [])
+        best, crossovers = packing.evolve(lengths, 2048, seed, [], generations=40)
         assert len(best) < len(decreasing) and crossovers > 0 and sorted(i for items, _ in best for i in items) == list(range(60))
     rng = random.Random(1)
     lengths = [rng.randint(1, 1500) for _ in range(2000)]
@@ -569,6 +582,7 @@ def test_jaccard(docs, empty, monkeypatch, bucket, block):
     """Small buckets and blocks send the near copies through tasks of blocks."""
     monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PIECE", max(2, block // 2))
     want, n = _brute(local(docs))
     got = Counter((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["class_id"], r["n_links"]) for r in local(jaccard_join.jaccard_join(docs)))
     assert got == want
