@@ -18,6 +18,17 @@ _CALL = re.compile(rf"({_CHAIN})(?:::<[^<>()]*>|<[\w\s,<>]*>)?\s*\(")
 _WORDS = {"if", "while", "for", "match", "switch", "return", "catch", "function", "fn", "func", "in", "loop", "else", "typeof", "await", "new", "super", "constructor", "let", "const", "var", "import", "synchronized", "try"}
 
 
+_STOP = re.compile(r"[(){}\[\];,\n]")
+_DECLARES = re.compile(r"\s*(?:default\s+)?(?:abstract\s+|async\s+)?(?:function|class|interface|enum)\b")
+_GOES_ON = re.compile(r"\s*[.=?:&|+*/]")
+_BRACKET = re.compile(r"[(){}\[\]]")
+
+
+def _before(masked: str, at: int) -> str:
+    """What stands shortly before an offset."""
+    return masked[max(0, at - 200) : at]
+
+
 def blank(text: str, lifetimes: bool = False) -> str:
     """The text with comments and the insides of strings as spaces."""
 
@@ -53,13 +64,13 @@ def end_of(masked: str, at: int, brace: bool = True) -> tuple[int, bool]:
 
 def close_of(masked: str, at: int) -> int:
     depth = 0
-    for i in range(at, len(masked)):
-        if masked[i] in "([{":
+    for m in _BRACKET.finditer(masked, at):
+        if m[0] in "([{":
             depth += 1
-        elif masked[i] in ")]}":
+        else:
             depth -= 1
             if depth == 0:
-                return i + 1
+                return m.end()
     return len(masked)
 
 
@@ -86,7 +97,7 @@ class Rust(LanguageAdapter):
     def _items(self, text: str) -> list[tuple[str, str, int, int, int]]:
         masked, out = blank(text, True), []
         for m in self._ITEM.finditer(masked):
-            if m["impl"] and re.search(r"[:(,<>&=]\s*$", masked[: m.start()]):
+            if m["impl"] and re.search(r"[:(,<>&=]\s*$", _before(masked, m.start())):
                 continue
             kind, name, braces = (
                 ("function", m["fn"], True) if m["f"] else (m["k"], m["n"], True) if m["k"] else ("trait", m["t"], True) if m["t"] else ("impl", "unknown", True) if m["impl"]
@@ -132,7 +143,7 @@ class TypeScript(LanguageAdapter):
                 out.append(Node("import", q[0] if q else first[1] if first else "import", m.start(), end))
                 continue
             if m["exp"]:
-                inner = re.match(r"\s*(?:default\s+)?(?:abstract\s+|async\s+)?(?:function|class|interface|enum)\b", masked[m.end() :])
+                inner = _DECLARES.match(masked, m.end())
                 end = end_of(masked, m.end())[0] if inner else self._statement(masked, m.end())
                 out.append(Node("export", "export_statement", m.start(), end))
             elif m["v"]:
@@ -154,9 +165,9 @@ class TypeScript(LanguageAdapter):
 
     @staticmethod
     def _statement(masked: str, at: int, semicolon: bool = True) -> int:
-        depth = 0
-        for i in range(at, len(masked)):
-            c = masked[i]
+        depth, last = 0, ""  # last: the last character that is no white space
+        for m in _STOP.finditer(masked, at):
+            i, c = m.start(), m[0]
             if c in "([{":
                 depth += 1
             elif c in ")]}":
@@ -167,8 +178,13 @@ class TypeScript(LanguageAdapter):
                 return i + semicolon
             elif depth == 0 and c == "," and not semicolon:
                 return i
-            elif depth == 0 and c == "\n" and masked[at:i].strip() and not re.match(r"\s*[.=?:&|+*/]", masked[i:]) and not re.search(r"[=(,&|+?:]\s*$", masked[at:i]):
-                return i
+            elif depth == 0 and c == "\n":
+                back = i - 1
+                while back >= at and masked[back].isspace():
+                    back -= 1
+                last = masked[back] if back >= at else ""
+                if last and last not in "=(,&|+?:" and not _GOES_ON.match(masked, i):
+                    return i
         return len(masked)
 
     def imports(self, text):
@@ -179,10 +195,10 @@ class TypeScript(LanguageAdapter):
         declared = {m.start("m") for m in self._METHOD.finditer(masked)} | {m.start(1) for m in re.finditer(r"\bfunction\b\s*\*?\s*([\w$]+)", masked)}
         out = []
         for name, s, e in _calls(text, masked, declared):
-            new = re.search(r"\bnew\s+$", masked[:s])
+            new = re.search(r"\bnew\s+$", _before(masked, s))
             full = text[s:e]
             kind = "dynamic" if not new and ("import(" in full or "?.(" in full) else "static"
-            out.append(Node(kind, re.split(r"[.:?]", name)[-1].strip(), new.start() if new else s, e))
+            out.append(Node(kind, re.split(r"[.:?]", name)[-1].strip(), s - (len(new[0]) if new else 0), e))
         return out
 
 
@@ -222,8 +238,7 @@ class Java(LanguageAdapter):
 
     @staticmethod
     def _depth(masked: str, owner: Node, at: int) -> int:
-        part = masked[owner.start : at]
-        return part.count("{") - part.count("}")
+        return masked.count("{", owner.start, at) - masked.count("}", owner.start, at)
 
     def imports(self, text):
         return [Node("import", "import", m.start(), m.end()) for m in self._IMPORT.finditer(blank(text))]
@@ -233,7 +248,7 @@ class Java(LanguageAdapter):
         declared = {m.start("n") for m in self._MEMBER.finditer(masked) if (m["t"] and m["t"] not in self._NO_TYPE) or (not m["t"] and m["n"][:1].isupper())}
         out = []
         for name, s, e in _calls(text, masked, declared):
-            if not re.search(r"\bnew\s+$", masked[:s]) and not re.search(r"@$", masked[:s]):
+            if not re.search(r"\bnew\s+$|@$", _before(masked, s)):
                 out.append(Node("static", re.findall(r"[A-Za-z_]\w*", name)[-1], s, e))
         return out
 

@@ -5,6 +5,7 @@ identifiers keep the literal ``<source>`` for the file (``compat_ids``), and eve
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,6 +19,9 @@ from weftline.functions.imports import normalize_import
 from weftline.schemas import LOCATION
 
 
+_NEWLINE = re.compile("\n")
+
+
 @dataclass
 class Node:
     """A symbol, import or call: offsets into the text, kind and name."""
@@ -75,10 +79,7 @@ class Positions:
     """Rows and byte columns of character offsets."""
 
     def __init__(self, text: str):
-        self.text, self.starts = text, [0]
-        for i, c in enumerate(text):
-            if c == "\n":
-                self.starts.append(i + 1)
+        self.text, self.starts = text, [0, *(m.end() for m in _NEWLINE.finditer(text))]
 
     def at(self, offset: int) -> tuple[int, int]:
         row = bisect_right(self.starts, offset) - 1
@@ -89,13 +90,28 @@ class Positions:
         return {"start_line": a, "start_col": b, "end_line": c, "end_col": d}
 
 
-def _around(nodes: list[Node], start: int, end: int, own: Node | None = None) -> Node | None:
-    best = None
-    for n in nodes:
-        if n is not own and n.start <= start and end <= n.end and (n.end - n.start > end - start or own is None):
-            if best is None or n.end - n.start <= best.end - best.start:
+class Enclosing:
+    """The innermost node around a span, for spans that come in order of their start: one sweep with the nodes that are open."""
+
+    def __init__(self, nodes: list[Node]):
+        """``nodes`` by start, longer ones first."""
+        self.nodes, self.next, self.open = nodes, 0, []
+
+    def around(self, start: int, end: int, own: Node | None = None) -> Node | None:
+        """Of several the shortest, of equal ones the last; for a node's own parent a longer one than itself."""
+        while self.next < len(self.nodes) and self.nodes[self.next].start <= start:
+            n = self.nodes[self.next]
+            while self.open and self.open[-1].end <= n.start:
+                self.open.pop()
+            self.open.append(n)
+            self.next += 1
+        while self.open and self.open[-1].end < start:
+            self.open.pop()
+        best = None
+        for n in reversed(self.open):
+            if n is not own and end <= n.end and (own is None or n.end - n.start > end - start) and (best is None or n.end - n.start < best.end - best.start):
                 best = n
-    return best
+        return best
 
 
 def extract_text(language: str, text: str, imports: bool = True, calls: bool = True, file_id: str = "<source>") -> tuple[list | None, list, list]:
@@ -105,18 +121,19 @@ def extract_text(language: str, text: str, imports: bool = True, calls: bool = T
         return None, [], []
     try:
         nodes, at = sorted(adapter.symbols(text), key=lambda n: (n.start, -n.end)), Positions(text)
-        symbols = []
+        symbols, parents = [], Enclosing(nodes)
         for i, n in enumerate(nodes):
-            parent = _around(nodes, n.start, n.end, n) if adapter.sets_scope else None
+            parent = parents.around(n.start, n.end, n) if adapter.sets_scope else None
             place = at.location(n)
             symbols.append({"ord": i, "id": f"{file_id}:{n.name}", "name": n.name, "kind": n.kind, "scope": parent.name if parent else None, "start_line": place["start_line"], "end_line": place["end_line"], "signature": text[n.start : n.end]})
         edges = []
         for i, n in enumerate(adapter.imports(text) if imports else []):
             place = at.location(n)
             edges.append({"ord": i, "id": f"ie:{file_id}:{place['start_line']}:{place['start_col']}", "raw": text[n.start : n.end].strip(), "location": place})
-        found = []
-        for i, n in enumerate(adapter.calls(text) if calls else []):
-            place, caller = at.location(n), _around(nodes, n.start, n.end)
+        found, callers, made = [], Enclosing(nodes), adapter.calls(text) if calls else []
+        within = {j: callers.around(made[j].start, made[j].end) for j in sorted(range(len(made)), key=lambda j: made[j].start)}
+        for i, n in enumerate(made):
+            place, caller = at.location(n), within[i]
             found.append({"ord": i, "id": f"ce:{file_id}:{place['start_line']}:{place['start_col']}", "caller_symbol_id": f"{file_id}:{caller.name}" if caller else None, "callee_name": n.name, "call_kind": n.kind, "location": place})
         return symbols, edges, found
     except (ValueError, IndexError, RecursionError):
