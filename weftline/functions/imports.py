@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftline.functions.text import strip_prefix, trim
+from weftline.functions.text import let, strip_prefix, trim
 
 
 
@@ -53,29 +53,36 @@ def _unquote(c: Column, quotes: str) -> Column:
 
 
 def typescript(raw: Column) -> Column:
-    t = trim(raw)
+    return let(trim(raw), lambda t: _typescript(raw, t))
+
+
+def _typescript(raw: Column, t: Column) -> Column:
+    """Parts that later ones are made of are computed once: the statement's content, then both sides of ``from``."""
+    same = _edge(raw, None, None, "named", F.lit(False))
     fits = F.startswith(t, F.lit("import ")) & F.endswith(t, F.lit(";")) & (F.length(t) >= 8)
     content = trim(F.substr(t, F.lit(8), F.greatest(F.length(t) - 8, F.lit(0))))
+    return F.when(~fits, same).otherwise(let(content, lambda c: _content(raw, c)))
+
+
+def _content(raw: Column, content: Column) -> Column:
     quoted = (F.startswith(content, F.lit('"')) & F.endswith(content, F.lit('"'))) | (F.startswith(content, F.lit("'")) & F.endswith(content, F.lit("'")))
-    has_from = F.contains(content, F.lit(" from "))
-    left, right = F.regexp_extract(content, "(?s)^(.*?) from (.*)$", 1), F.regexp_extract(content, "(?s)^(.*?) from (.*)$", 2)
-    module = _unquote(_cut_semicolons(right), "\"'")
-    local = _relative(module)
-    star = strip_prefix(content, "* as ")
-    star_from = F.contains(star, F.lit(" from "))
-    star_module = _unquote(_cut_semicolons(F.regexp_extract(star, "(?s)^(.*?) from (.*)$", 2)), "\"'")
-    space = _edge(star_module, None, trim(F.regexp_extract(star, "(?s)^(.*?) from (.*)$", 1)), "namespace", _relative(star_module))
-    side = trim(left)
-    inner = trim(F.substr(side, F.lit(2), F.greatest(F.length(side) - 2, F.lit(0))))
-    braces = F.startswith(side, F.lit("{")) & F.endswith(side, F.lit("}"))
-    aliased = _edge(module, trim(_last(inner, " as ", 1)), trim(_last(inner, " as ", 2)), "named", local)
-    plain = _edge(module, F.when(inner != "", inner), None, "named", local)
-    same = _edge(raw, None, None, "named", F.lit(False))
+    side = lambda n: F.regexp_extract(content, "(?s)^(.*?) from (.*)$", n)
+    parts = F.struct(trim(side(1)).alias("left"), _cut_semicolons(side(2)).alias("right"))
+    return F.when(quoted, _edge(_unquote(content, "\"'"), None, None, "side_effect", F.lit(False))).otherwise(
+        let(parts, lambda p: let(_unquote(p["right"], "\"'"), lambda module: _clause(raw, content, p["left"], module))))
+
+
+def _clause(raw: Column, content: Column, left: Column, module: Column) -> Column:
+    has_from, local = F.contains(content, F.lit(" from ")), _relative(module)
+    space = _edge(module, None, trim(strip_prefix(left, "* as ")), "namespace", local)
+    inner = trim(F.substr(left, F.lit(2), F.greatest(F.length(left) - 2, F.lit(0))))
+    braces = F.startswith(left, F.lit("{")) & F.endswith(left, F.lit("}"))
+    named = lambda i: F.when(F.contains(i, F.lit(" as ")), _edge(module, trim(_last(i, " as ", 1)), trim(_last(i, " as ", 2)), "named", local)).otherwise(_edge(module, F.when(i != "", i), None, "named", local))
+    # "* as" binds what follows up to the first " from " after it
+    starred = F.startswith(content, F.lit("* as ")) & F.contains(strip_prefix(content, "* as "), F.lit(" from "))
     return (
-        F.when(~fits, same).when(quoted, _edge(_unquote(content, "\"'"), None, None, "side_effect", F.lit(False)))
-        .when(F.startswith(content, F.lit("* as ")) & star_from, space)
-        .when(has_from & ~F.startswith(side, F.lit("{")) & ~F.startswith(side, F.lit("*")), _edge(module, F.lit("default"), side, "default", local))
-        .when(has_from & braces & F.contains(inner, F.lit(" as ")), aliased).when(has_from & braces, plain).otherwise(same)
+        F.when(starred, space).when(has_from & ~F.startswith(left, F.lit("{")) & ~F.startswith(left, F.lit("*")), _edge(module, F.lit("default"), left, "default", local))
+        .when(has_from & braces, let(inner, named)).otherwise(_edge(raw, None, None, "named", F.lit(False)))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,7 +73,17 @@ def qualified_name(name: Column, scope: Column) -> Column:
     return F.when(scope.isNull() | (scope == ""), name).otherwise(F.concat(F.regexp_replace(trim(scope), r"(::)+$", ""), F.lit("::"), name))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chunk_label(start: Column, end: Column, id_: Column) -> Column:
+    """How a chunk is shown."""
+    return F.format_string("Chunk %s (%d-%d)", id_.cast("string"), start, end)
+
+
 def chunk_kind(c: Column) -> Column:
     """Exact, then by lower case, else Contextual."""
     low = F.lower(c)
-    return F.when(low.isin("fullfile", "full_file"), "FullFile").when(low == "symbol", "Symbol").otherwise("Contextual")
+    return F.when(low == "fullfile", "FullFile").when(low == "symbol", "Symbol").otherwise("Contextual")

@@ -5,6 +5,9 @@ decide the groups on the light symbol rows; content is cut once per chunk afterw
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from weftline.schemas import CHUNKS, METADATA
 GAP = 3
 _META = [x.strip().split(" ") for x in METADATA[len("struct<") : -1].split(",")]
 ORDER = ("start_line", "end_line", "id", "ord")
+#: What a fold and the cutting of its groups need of a symbol.
+LIGHT = ("file_path", "ord", "id", "start_line", "end_line")
 
 
 def metadata(**values) -> Column:
@@ -28,12 +33,28 @@ def merge_metadata(now: Column, **values) -> Column:
 
 
 def token_count(content: Column) -> Column:
-    """Null, as without a vocabulary; replace it to count."""
+    """Null, as without a vocabulary; :func:`with_token_counts` counts."""
     return F.lit(None).cast("long")
 
 
+def with_token_counts(chunks: DataFrame, tokenizer: str) -> DataFrame:
+    """``chunks`` with the tokens of their content by the tokenizer file ``tokenizer``, which every executor can read, in the metadata."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(tokenizer)
+        for b in batches:
+            yield pd.Series([len(e.ids) for e in tok.encode_batch_fast(b.fillna("").tolist(), add_special_tokens=False)])
+
+    return chunks.withColumn("_tokens", count("content")).withColumn("metadata", merge_metadata(F.col("metadata"), token_count=F.col("_tokens"))).drop("_tokens")
+
+
 def _finish(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", F.col("content")).select(*CHUNKS)
+    """The columns of chunks, and where a chunk stands among those that its file was cut into (ordinal)."""
+    more = ["ordinal"] if "ordinal" in df.columns else [F.lit(0).cast("long").alias("ordinal")]
+    return df.withColumn("text", F.col("content")).select(*CHUNKS, *more)
 
 
 def full_file_chunks(files: DataFrame, prefix: str = "chk-", kind: str = "md5", strategy: str | None = None, max_lines: int | None = None) -> DataFrame:
@@ -65,7 +86,7 @@ def boundary_chunks(files: DataFrame, symbols: DataFrame, max_lines: int = 0) ->
     cut = s.join(_file_lines(files), "file_path").withColumn("content", line_range(F.col("all_lines"), F.col("start_line"), F.col("end_line")))
     cut = cut.withColumnRenamed("id", "symbol_id").withColumns({
         "id": _path_id(F.col("start_line"), F.col("end_line")), "md5": F.md5(F.col("content").cast("binary")), "size": n_lines(F.col("start_line"), F.col("end_line")),
-        "symbol_ids": F.array("symbol_id"), "chunk_kind": F.lit("Symbol"), "metadata": F.lit(None).cast(METADATA),
+        "symbol_ids": F.array("symbol_id"), "chunk_kind": F.lit("Symbol"), "metadata": F.lit(None).cast(METADATA), "ordinal": F.col("ord").cast("long"),
     })
     return _finish(cut).unionByName(full_file_chunks(_without(files, symbols)))
 
@@ -85,8 +106,8 @@ def pack_step(max_lines: int):
 
 
 def pack_groups(symbols: DataFrame, max_lines: int) -> DataFrame:
-    """``symbols`` with cid, the number of the chunk in its file."""
-    return ordered_fold(symbols, "file_path", ORDER, ("start_line", "end_line"), lambda: {"cid": 0, "s": 0, "e": 0, "open": False}, pack_step(max_lines), "cid long")
+    """What places ``symbols``, with cid, the number of the chunk in its file; a symbol's text stays out of the fold."""
+    return ordered_fold(symbols.select(*LIGHT), "file_path", ORDER, ("start_line", "end_line"), lambda: {"cid": 0, "s": 0, "e": 0, "open": False}, pack_step(max_lines), "cid long")
 
 
 def _norm(c: Column) -> Column:
@@ -136,9 +157,9 @@ def semantic_step(max_lines: int, gap: int = GAP):
 
 
 def semantic_groups(symbols: DataFrame, max_lines: int, gap: int = GAP) -> DataFrame:
-    """``symbols`` with cid and semantic_key of their chunk."""
+    """What places ``symbols``, with cid and semantic_key of their chunk."""
     start = lambda: {"cid": 0, "s": 0, "e": 0, "key": None, "anchor": None}
-    keyed = semantic_keys(symbols)
+    keyed = semantic_keys(symbols).select(*LIGHT, "own_key", "reopen_key", "is_anchor", "is_member")
     out = ordered_fold(keyed, "file_path", ORDER, ("start_line", "end_line", "own_key", "reopen_key", "is_anchor", "is_member"), start, semantic_step(max_lines, gap), "cid long, semantic_key string")
     return out.drop("own_key", "reopen_key", "is_anchor", "is_member")
 
@@ -157,7 +178,7 @@ def flush_groups(files: DataFrame, grouped: DataFrame, strategy: str, max_lines:
         meta = metadata(chunk_strategy=F.lit(strategy), max_line_limit=F.lit(max_lines), token_count=token_count(F.col("content")), **more)
         g = g.withColumn("named", named).withColumn("md5", F.col("named") if strategy == "semantic" else digest(F.col("content"), kind))
         g = g.withColumn("id", F.concat(F.lit("chk-sem-" if strategy == "semantic" else "chk-line-"), F.col("named"))).withColumn("metadata", meta)
-    return _finish(g.withColumns({"size": F.octet_length("content"), "chunk_kind": F.lit("Symbol")}))
+    return _finish(g.withColumns({"size": F.octet_length("content"), "chunk_kind": F.lit("Symbol"), "ordinal": F.col("cid").cast("long")}))
 
 
 def size_limited_chunks(files: DataFrame, symbols: DataFrame, max_lines: int, kind: str = "blake3") -> DataFrame:
@@ -173,10 +194,11 @@ def semantic_chunks(files: DataFrame, symbols: DataFrame, max_lines: int, kind:
 
 
 def overlap_chunks(files: DataFrame, chunks: DataFrame, n: int, kind: str = "blake3") -> DataFrame:
-    """Chunks of files with two or more grow by ``n`` lines towards their neighbours and name them; others stay."""
+    """Chunks of files with two or more grow by ``n`` lines towards their neighbours and name them; others stay. Chunks of the same
+    lines keep the order in which they were cut."""
     if not n:
         return chunks
-    order = Window.partitionBy("file_path").orderBy("start_line", "end_line", "id")
+    order = Window.partitionBy("file_path").orderBy("start_line", "end_line", *(["ordinal"] if "ordinal" in chunks.columns else []), "id")
     c = chunks.withColumn("prev", F.lag("id").over(order)).withColumn("next", F.lead("id").over(order))
     c = c.withColumn("moved", F.col("prev").isNotNull() | F.col("next").isNotNull())
     c = c.withColumn("start_line", F.when(F.col("prev").isNotNull(), F.greatest(F.col("start_line") - n, F.lit(0))).otherwise(F.col("start_line")))
@@ -206,12 +228,15 @@ def leading_imports(text: Column) -> Column:
 
 
 def context_chunks(files: DataFrame, chunks: DataFrame, symbols: DataFrame, kind: str = "blake3") -> DataFrame:
-    """Chunks with their file's imports and their symbols' scopes before the content; ids and lines stay."""
+    """Chunks with their file's imports and their symbols' scopes before the content; ids and lines stay. Files without symbols have no
+    context, and their chunks stay as they are."""
     found = symbol_index(symbols).where("scope is not null").select("file_path", F.col("id").alias("sid"), trim(F.col("scope")).alias("scope"))
-    named = chunks.select("file_path", "id", "start_line", "end_line", F.explode(F.array_distinct(F.concat("symbol_ids", F.filter(F.array("symbol_id"), lambda x: x.isNotNull())))).alias("sid"))
-    scopes = named.join(found, ["file_path", "sid"]).groupBy("file_path", "id", "start_line", "end_line").agg(F.sort_array(F.collect_set("scope")).alias("scopes"))
-    imports = files.select("file_path", leading_imports(F.col("text")).alias("imports"))
-    c = chunks.join(imports, "file_path").join(scopes, ["file_path", "id", "start_line", "end_line"], "left").withColumn("scopes", F.coalesce("scopes", F.array().cast("array<string>")))
+    own = ["file_path", "id", "start_line", "end_line", "symbol_ids"]  # two symbols of the same lines make two chunks of one id
+    named = chunks.select(*own, F.explode(F.array_distinct(F.concat("symbol_ids", F.filter(F.array("symbol_id"), lambda x: x.isNotNull())))).alias("sid"))
+    scopes = named.join(found, ["file_path", "sid"]).groupBy(*own).agg(F.sort_array(F.collect_set("scope")).alias("scopes"))
+    imports = files.join(symbols.select("file_path").distinct(), "file_path", "left_semi").select("file_path", leading_imports(F.col("text")).alias("imports"))
+    nothing = F.array().cast("array<string>")
+    c = chunks.join(imports, "file_path", "left").join(scopes, own, "left").withColumns({"scopes": F.coalesce("scopes", nothing), "imports": F.coalesce("imports", nothing)})
     scope_lines = F.transform("scopes", lambda s: F.concat(F.lit("scope: "), s))
     between = F.when((F.size("imports") > 0) & (F.size("scopes") > 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     all_ = F.concat("imports", between, scope_lines)
@@ -225,14 +250,23 @@ def context_chunks(files: DataFrame, chunks: DataFrame, symbols: DataFrame, kind
     }))
 
 
-def chunk_pipeline(files: DataFrame, symbols: DataFrame | None, options: ChunkingOptions = ChunkingOptions(), kind: str = "blake3") -> DataFrame:
-    """Base strategy, then overlap, then context where there are symbols."""
+Strategy = Callable[[DataFrame, DataFrame, int, str], DataFrame]
+STRATEGIES: dict[str, Strategy] = {
+    "SymbolBoundary": lambda files, symbols, most, _: boundary_chunks(files, symbols, most), "SizeLimited": size_limited_chunks, "LineLimited": line_limited_chunks, "Semantic": semantic_chunks,
+}
+
+
+def chunk_pipeline(files: DataFrame, symbols: DataFrame | None, options: ChunkingOptions = ChunkingOptions(), kind: str = "blake3", strategies: Mapping[str, Strategy] | None = None) -> DataFrame:
+    """Base strategy, then overlap, then context for files that have symbols, then token counts if a tokenizer is named.
+
+    ``strategies`` are strategies of the caller's own: name to a function of files, symbols, the line limit and the digest."""
     if symbols is None:
         symbols = files.sparkSession.createDataFrame([], "file_path string, ord int, id string, name string, kind string, scope string, start_line int, end_line int, signature string")
-    base = {"SymbolBoundary": boundary_chunks, "SizeLimited": size_limited_chunks, "LineLimited": line_limited_chunks, "Semantic": semantic_chunks}[options.strategy]
-    out = base(files, symbols, options.max_lines) if options.strategy == "SymbolBoundary" else base(files, symbols, options.max_lines, kind)
-    out = overlap_chunks(files, out, options.overlap_lines, kind)
-    return context_chunks(files, out, symbols, kind) if options.include_context else out
+    base = {**STRATEGIES, **(strategies or {})}[options.strategy]
+    out = overlap_chunks(files, base(files, symbols, options.max_lines, kind), options.overlap_lines, kind)
+    out = context_chunks(files, out, symbols, kind) if options.include_context else out
+    out = with_token_counts(out, options.tokenizer) if options.token_counting and options.tokenizer else out
+    return out.select(*CHUNKS)
 
 
 def chunk_error(start: Column, end: Column) -> Column:

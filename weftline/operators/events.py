@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import LANGUAGE_LIST, chunk_kind
+from weftline.options import FlowOptions
 from weftline.schemas import PROTOCOL_VERSION
 
+#: Fixed values of the capabilities event.
+ENGINE_VERSION = "0.1.0"
+FEATURES = ("jsonl", "incremental_index", "git_diff", "pause_resume", "mcp_compatible")
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -37,7 +41,7 @@ def call_edge(edges: DataFrame, job_id: str | None = None) -> DataFrame:
 
 
 def file_listed(files: DataFrame, job_id: str | None = None) -> DataFrame:
-    return event(files, "file_listed", F.struct("path", "size", "mtime", "hash", "language"), job_id)
+    return event(files, "file_listed", F.struct(F.struct("path", "size", "mtime", "hash", "language").alias("file")), job_id)
 
 
 def file_invalid(files: DataFrame, job_id: str | None = None) -> DataFrame:
@@ -50,7 +54,41 @@ def single(spark: SparkSession, name: str, job_id: str | None = None, **payload)
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
-    return single(spark, "capabilities", version=PROTOCOL_VERSION, languages=list(LANGUAGE_LIST), features=["chunking", "imports", "calls", "backpressure", "incremental"])
+    return single(spark, "capabilities", version=ENGINE_VERSION, languages=list(LANGUAGE_LIST), features=list(FEATURES))
+
+
+def pause(states: DataFrame, job_id: str | Column | None = None, payload: bool = False) -> DataFrame:
+    """Flow events of rows (reason, threshold, current_size); their payload is null unless asked for."""
+    return _flow(states, "pause", job_id, payload)
+
+
+def resume(states: DataFrame, job_id: str | Column | None = None, payload: bool = False) -> DataFrame:
+    return _flow(states, "resume", job_id, payload)
+
+
+def _flow(states: DataFrame, name: str, job_id: str | Column | None, payload: bool) -> DataFrame:
+    """On the wire the reason is a key of its own, without a value."""
+    if not payload:
+        return event(states, name, F.lit(None).cast("string"), job_id)
+    out = event(states, name, F.struct("reason", "threshold", "current_size", F.lit(name == "pause").alias("backpressure_active")), job_id)
+    return out.select(F.regexp_replace("value", '"reason":("[a-z_]+"),"threshold"', '$1:null,"threshold"').alias("value"))
+
+
+def flow_of(emitted: DataFrame, options: FlowOptions, job_id: str | None = None) -> DataFrame:
+    """Pause and resume events of a job whose log nobody acknowledges: the single row of ``emitted`` has n, the events that passed flow
+    control. The event that fills the queue pauses, is held until the time is over, and the queue begins anew."""
+    rounds = emitted.where(F.col("n") >= options.max_queue_size).select(F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / options.max_queue_size))).alias("round"))
+    full = rounds.select(F.lit(options.reason(options.max_queue_size)).alias("reason"), F.lit(options.max_queue_size).alias("threshold"), F.lit(options.max_queue_size).alias("current_size"))
+    over = rounds.select(F.lit("pause_timeout").alias("reason"), F.lit(options.resume_threshold).alias("threshold"), F.lit(0).alias("current_size"))
+    return pause(full, job_id, True).unionByName(resume(over, job_id, True))
+
+
+def ack(spark: SparkSession, job_id: str, count: int, size: int, paused: bool) -> DataFrame:
+    return single(spark, "ack", job_id, status="ok", count=count, current_queue_size=size, paused=paused)
+
+
+def ack_resume(spark: SparkSession, job_id: str, size: int, paused: bool) -> DataFrame:
+    return single(spark, "ack_resume", job_id, status="ok", queue_size=size, paused=paused)
 
 
 def job_started(spark: SparkSession, job_id: str) -> DataFrame:
@@ -58,7 +96,7 @@ def job_started(spark: SparkSession, job_id: str) -> DataFrame:
 
 
 def job_completed(chunks: DataFrame, job_id: str) -> DataFrame:
-    """``processed`` counts chunks."""
+    """``processed`` counts chunks; flow control lets it pass."""
     return event(chunks.agg(F.count(F.lit(1)).alias("n")), "job_completed", F.struct(F.col("n").alias("processed"), F.lit(0).alias("duration_ms")), job_id)
 
 

@@ -19,9 +19,13 @@ class ChunkingOptions:
     overlap_lines: int = 1
     include_context: bool = True
     token_counting: bool = False
+    #: A tokenizer file by which token_counting counts; without one counts are null.
+    tokenizer: str | None = None
+    #: Names of strategies besides the four.
+    own_strategies: tuple[str, ...] = ()
 
     def __post_init__(self):
-        if self.strategy not in STRATEGIES:
+        if self.strategy not in (*STRATEGIES, *self.own_strategies):
             raise ValueError(f"unknown strategy {self.strategy!r}")
         if self.max_lines < 0 or self.overlap_lines < 0:
             raise ValueError("limits are not negative")
@@ -61,6 +65,8 @@ class ScanOptions:
     include: tuple[str, ...] = ()
     ignore: tuple[str, ...] = ()
     follow_symlinks: bool = False
+    #: Whether the folder's ignore files count.
+    load_ignores: bool = True
 
 
 @dataclass(frozen=True)
