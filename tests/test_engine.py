@@ -183,7 +183,8 @@ def test_adapters():
 def test_commands_and_rpc(spark, tmp_path):
     e = Engine(spark)
     code = lambda line: json.loads(e.run(line).first()["value"])["payload"].get("code")
-    assert code("{") == "INVALID_COMMAND" and code('{"command":"nope"}') == "INVALID_COMMAND" and code('{"command":"ack"}') == "JOB_NOT_FOUND"
+    assert code("{") == "INVALID_COMMAND" and code('{"command":"nope"}') == "INVALID_COMMAND" and code('{"command":"ack","job_id":"j"}') == "JOB_NOT_FOUND"
+    assert e.run('{"command":"ack"}').count() == 0  # without a job there is nothing to answer
     assert code('{"command":"index_path","payload":{}}') == "INVALID_PAYLOAD" and code('{"command":"index_path","payload":{"path":"/no/such"}}') == "WALKER_ERROR"
     bad = json.dumps({"command": "index_path", "payload": {"path": str(tmp_path), "backpressure": {"max_queue_size": 1}}})
     assert code(bad) == "BACKPRESSURE_CONFIG"
@@ -200,3 +201,118 @@ def test_config(tmp_path):
     assert Config.load(str(tmp_path), {"MAX_CONCURRENCY": "3"}) == Config(3, 100)
     (tmp_path / "config.json").write_text('{"max_concurrency": 2, "max_queue_size": 50}')
     assert Config.load(str(tmp_path), {}) == Config(2, 50)
+
+
+def payloads(df):
+    return [(v["event"], v["payload"]) for v in (json.loads(r["value"]) for r in df.collect())]
+
+
+def test_flow_in_a_job(spark, tmp_path):
+    (tmp_path / "a.py").write_text("\n".join(f"def f{i}():\n    return {i}\n" for i in range(40)))
+    e = Engine(spark)
+    line = {"command": "index_path", "job_id": "j", "payload": {"path": str(tmp_path), "chunking": {"strategy": "SymbolBoundary", "max_lines": 0}, "backpressure": {"max_queue_size": 10, "threshold_percent": 80}}}
+    log = payloads(e.run(json.dumps(line)))
+    passed = sum(n in ("job_started", "file_listed", "chunk_emitted") for n, _ in log)
+    assert passed == 42 and [n for n, _ in log].count("pause") == [n for n, _ in log].count("resume") == 4
+    assert next(p for n, p in log if n == "pause") == {"output_queue_full": None, "threshold": 10, "current_size": 10, "backpressure_active": True}
+    assert next(p for n, p in log if n == "file_listed")["file"]["path"] == "a.py"
+    assert payloads(e.run('{"command":"ack","job_id":"j"}')) == [("ack", {"status": "ok", "count": 1, "current_queue_size": 1, "paused": False})]
+    assert payloads(e.run('{"command":"ack","job_id":"j","payload":{"count":9}}')) == [("ack", {"status": "ok", "count": 9, "current_queue_size": 0, "paused": False})]
+    assert payloads(e.run('{"command":"resume","job_id":"j"}')) == [("ack_resume", {"status": "ok", "queue_size": 0, "paused": False})]
+
+
+def test_one_parse_a_job(spark, tmp_path):
+    """The log's plan reads no source and runs no scanner; both were done once."""
+    (tmp_path / "a.rs").write_text("use a::b;\nfn f() { g(); }\n")
+    (tmp_path / "big.bin").write_bytes(b"x" * 100_000)
+    e = Engine(spark)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5000")  # what the globs leave out is not read
+    try:
+        result = e.index_path(str(tmp_path))
+        plan = e.event_log(result, "j")._jdf.queryExecution().executedPlan().toString()
+        assert "binaryFile" not in plan and "MapInPandas" not in plan and result.invalid.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_unreadable_files_are_invalid(spark, tmp_path, monkeypatch):
+    from weftline.sources import scan as source
+
+    (tmp_path / "a.rs").write_text("fn a() {}\n")
+    (tmp_path / "b.rs").write_text("fn b() {}\n")
+    whole = source.contents
+    monkeypatch.setattr(source, "contents", lambda s, paths: whole(s, [p for p in paths if not p.endswith("b.rs")]))
+    e = Engine(spark)
+    result = e.index_path(str(tmp_path))
+    assert [r["path"] for r in result.files.collect()] == ["a.rs"] and ("file_invalid", {"path": "b.rs", "reason": "io_error"}) in payloads(e.event_log(result, "j"))
+    assert [r["path"] for r in result.ordered().files.collect()] == ["a.rs"]
+    assert {r["file_path"]: r["text"] for r in source.read_texts(spark, str(tmp_path), ["a.rs", "gone.rs"]).collect()} == {"a.rs": "fn a() {}\n", "gone.rs": ""}
+
+
+def test_context_only_beside_symbols(spark):
+    f = spark.createDataFrame([("a.py", "import os\nx = 1\n", "python"), ("b.py", "import os\ndef f(): pass\n", "python")], "file_path string, text string, language string")
+    s = symbols(spark, [("f", "f", "function", "A", 2, 2), ("g", "g", "function", "B", 2, 2)], "b.py")
+    out = ch.chunk_pipeline(f, s, ChunkingOptions("SymbolBoundary", overlap_lines=0)).collect()
+    assert [r["content"] for r in out if r["file_path"] == "a.py"] == ["import os\nx = 1\n"]
+    assert {r["symbol_id"]: r["content"] for r in out if r["file_path"] == "b.py"} == {k: f"import os\n\nscope: {v}\n\ndef f(): pass\n" for k, v in (("f", "A"), ("g", "B"))}
+
+
+def test_own_strategy_and_token_counts(spark):
+    import public_tokenizers
+
+    f = files(spark, "one two\nthree\n")
+    own = {"Whole": lambda files, symbols, most, kind: ch.full_file_chunks(files, "own-", kind, "whole", most)}
+    options = ChunkingOptions("Whole", token_counting=True, tokenizer=public_tokenizers.path("word_bpe_49k.json"), own_strategies=("Whole",))
+    r = ch.chunk_pipeline(f, None, options, "sha256", own).first()
+    assert r["id"].startswith("own-") and r["metadata"]["chunk_strategy"] == "whole" and r["metadata"]["token_count"] == 3
+
+
+def test_enclosing_sweep_against_brute_force():
+    import random
+
+    from weftline.extract.registry import Enclosing, Node
+
+    def brute(nodes, start, end, own=None):
+        best = None
+        for n in nodes:
+            if n is not own and n.start <= start and end <= n.end and (own is None or n.end - n.start > end - start) and (best is None or n.end - n.start <= best.end - best.start):
+                best = n
+        return best
+
+    rng = random.Random(7)
+    for _ in range(300):
+        nodes = []
+        for i in range(rng.randint(1, 25)):
+            a = rng.randint(0, 40)
+            nodes.append(Node("k", str(i), a, a + rng.randint(1, 20)))
+        nodes.sort(key=lambda n: (n.start, -n.end))
+        sweep = Enclosing(nodes)
+        for n in nodes:
+            got, want = sweep.around(n.start, n.end, n), brute(nodes, n.start, n.end, n)
+            assert (got and (got.start, got.end)) == (want and (want.start, want.end))
+        sweep = Enclosing(nodes)
+        for start, end in sorted((a := rng.randint(0, 50), a + rng.randint(1, 5)) for _ in range(20)):
+            got, want = sweep.around(start, end), brute(nodes, start, end)
+            assert (got and got.name) == (want and want.name)
+
+
+def test_extraction_is_linear():
+    import time
+
+    def seconds(n):
+        text = "".join(f"function f{i}() {{\n  const x = [1, 2];\n  return new A(x).b(g(x));\n}}\n" for i in range(n))
+        began = time.process_time()
+        extract_text("typescript", text)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 4 * max(seconds(4000), 0.1)
+
+
+def test_tools_and_notifications(spark, tmp_path):
+    from weftline.engine import tool_schemas
+
+    (tmp_path / "a.rs").write_text("")
+    assert [t["name"] for t in tool_schemas()] == ["list_languages", "index_path", "stop", "status"] and tool_schemas()[1]["inputSchema"]["properties"]["path"]["type"] == "string"
+    lines = Engine(spark).rpc_lines(json.dumps({"id": 1, "method": "index_path", "params": {"path": str(tmp_path)}}))
+    assert [x.get("method") for x in lines] == ["indexing/start", "indexing/file", "indexing/complete", None] and lines[2]["params"] == {"files": 1} and lines[3]["result"]["status"] == "started"

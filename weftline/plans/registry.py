@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.extract.registry import call_edges_of, extract, import_edges_of, symbols_of
 from weftline.functions.globs import glob_regex, scan_filter
 from weftline.functions.imports import normalize_import
-from weftline.functions.text import chunk_kind, extension, language_of, lines, n_lines, relative_path
+from weftline.functions.text import chunk_kind, chunk_label, extension, language_of, lines, n_lines, relative_path
 from weftline.operators import chunking, events
 from weftline.operators.symbols import boundary_symbols, enclosing, normalize_symbols, symbol_error, symbol_index
-from weftline.options import FlowOptions
+from weftline.options import ChunkingOptions, FlowOptions, IndexOptions
 from weftline.plans import corpora as c
 from weftline.streaming.flow import flow_log
 
@@ -107,11 +109,21 @@ _D = f"WITH {c.DOCUMENTS}, {c.LINES}, {c.BLOCKS}"
 _CUT = "array_to_string(a[{0}:{1}], chr(10)) || chr(10)"
 
 
-@query(_D + f""", x AS (SELECT *, {_CUT.format('start_line', 'end_line')} AS content FROM blk WHERE end_line - start_line + 1 <= 4)
+#: Every third block is a line longer, where its document has one, and then over the limit.
+_MIXED = "mx AS (SELECT * EXCLUDE (end_line), CAST(least(end_line + CASE WHEN b % 3 = 2 THEN 1 ELSE 0 END, len(a)) AS INTEGER) AS end_line FROM blk)"
+
+
+def _mixed(spark, sf_dir) -> DataFrame:
+    n = c.documents(spark, sf_dir).select("file_path", F.size(lines(F.col("text"))).alias("n"))
+    b = c.blocks(spark, sf_dir).join(n, "file_path")
+    return b.withColumn("end_line", F.least(F.col("end_line") + F.when(F.col("ord") % 3 == 2, 1).otherwise(0), F.col("n"))).drop("n")
+
+
+@query(_D + f""", {_MIXED}, x AS (SELECT *, {_CUT.format('start_line', 'end_line')} AS content FROM mx WHERE end_line - start_line + 1 <= 5)
 SELECT 'chk-' || replace(file_path, '/', '_') || '-' || start_line || '-' || end_line AS id, file_path, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, content, md5(content) AS md5, CAST(end_line - start_line + 1 AS BIGINT) AS size, id AS symbol_id FROM x""")
 def boundary_chunks(spark, sf_dir):
     d = c.documents(spark, sf_dir)
-    out = chunking.boundary_chunks(d, c.blocks(spark, sf_dir), 4).where("chunk_kind = 'Symbol'")
+    out = chunking.boundary_chunks(d, _mixed(spark, sf_dir), 5).where("chunk_kind = 'Symbol'")
     return out.select("id", "file_path", F.col("start_line").cast(LONG), F.col("end_line").cast(LONG), "content", "md5", F.col("size").cast(LONG), "symbol_id")
 
 
@@ -274,10 +286,10 @@ def duplicate_chunk_ids(spark, sf_dir):
     return chunking.full_file_chunks(c.documents(spark, sf_dir)).groupBy(F.col("id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query(f"WITH {c.DOCUMENTS}, {c.LINES}, {c.BLOCKS}, h AS (SELECT DISTINCT file_path FROM blk WHERE end_line - start_line + 1 <= 4) SELECT file_path AS path FROM docs SEMI JOIN h USING (file_path)")
+@query(f"WITH {c.DOCUMENTS}, {c.LINES}, {c.BLOCKS}, {_MIXED}, h AS (SELECT file_path FROM mx WHERE end_line - start_line + 1 <= 5), n AS (SELECT DISTINCT file_path FROM mx) SELECT file_path AS path FROM docs WHERE file_path IN (FROM h) OR file_path NOT IN (FROM n)")
 def files_with_chunks(spark, sf_dir):
     d = c.documents(spark, sf_dir)
-    chunks = chunking.boundary_chunks(d, c.blocks(spark, sf_dir), 4)
+    chunks = chunking.boundary_chunks(d, _mixed(spark, sf_dir), 5)
     return events.files_with_chunks(d.select(F.col("file_path").alias("path")), chunks).select("path")
 
 
@@ -286,13 +298,13 @@ def job_completed(spark, sf_dir):
     return events.job_completed(chunking.full_file_chunks(c.documents(spark, sf_dir)), "j")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS a, l_suppkey % 4 AS b, (['Symbol','FullFile','symbol','CONTEXTUAL','other','fullfile'])[CAST(l_partkey % 6 + 1 AS INTEGER)] AS k FROM lineitem)
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS a, l_suppkey % 4 AS b, (['Symbol','FullFile','symbol','CONTEXTUAL','other','fullfile','full_file'])[CAST(l_partkey % 7 + 1 AS INTEGER)] AS k FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN a < 1 OR b < 1 THEN 'line numbers must be 1-based' WHEN a > b THEN 'start line after end line' END AS error, CASE lower(k) WHEN 'symbol' THEN 'Symbol' WHEN 'fullfile' THEN 'FullFile' ELSE 'Contextual' END AS kind,
  CAST(greatest(b - a, 0) + 1 AS BIGINT) AS n_lines, printf('Chunk %d (%d-%d)', l_orderkey, a, b) AS shown, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY ALL""")
 def chunk_validation(spark, sf_dir):
-    kinds = F.array(*[F.lit(k) for k in ("Symbol", "FullFile", "symbol", "CONTEXTUAL", "other", "fullfile")])
-    s = c.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b"), F.element_at(kinds, (F.col("l_partkey") % 6 + 1).cast("int")).alias("k"))
-    s = s.select("l_orderkey", "l_linenumber", chunking.chunk_error(F.col("a"), F.col("b")).alias("error"), chunk_kind(F.col("k")).alias("kind"), n_lines(F.col("a"), F.col("b")).cast(LONG).alias("n_lines"), F.format_string("Chunk %d (%d-%d)", "l_orderkey", "a", "b").alias("shown"))
+    kinds = F.array(*[F.lit(k) for k in ("Symbol", "FullFile", "symbol", "CONTEXTUAL", "other", "fullfile", "full_file")])
+    s = c.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b"), F.element_at(kinds, (F.col("l_partkey") % 7 + 1).cast("int")).alias("k"))
+    s = s.select("l_orderkey", "l_linenumber", chunking.chunk_error(F.col("a"), F.col("b")).alias("error"), chunk_kind(F.col("k")).alias("kind"), n_lines(F.col("a"), F.col("b")).cast(LONG).alias("n_lines"), chunk_label(F.col("a"), F.col("b"), F.col("l_orderkey")).alias("shown"))
     return s.groupBy(*s.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -350,11 +362,11 @@ SOURCES = {
 }
 #: (kind, name, scope, start, end) of the symbols, (callee, caller) of the calls and (module, symbol, kind, resolved) of the import.
 EXPECTED = {
-    "rust": ([("use", "unknown", None, 0, 0), ("struct", "S%1", None, 2, 4), ("impl", "unknown", None, 6, 10), ("function", "get%1", None, 7, 9)], ("helper", "get%1"), ("std", "io", "named", False)),
-    "typescript": ([("import", '"./m%1"', None, 0, 0), ("class", "C%1", None, 2, 6), ("method", "run%1", "C%1", 3, 5), ("function", "f%1", None, 8, 10)], ("work", "run%1"), ("./m%1", "a", "named", True)),
-    "java": ([("import", "import_declaration", None, 0, 0), ("class", "C%1", None, 2, 8), ("field", "n", "C%1", 3, 3), ("method", "get%1", "C%1", 5, 7)], ("calc", "get%1"), ("java.util", "List", "named", False)),
-    "go": ([("import", "import_declaration", None, 2, 2), ("function", "F%1", None, 4, 7)], ("fmt.Println", "F%1"), ("fmt", None, "named", False)),
-    "python": ([("import", "os", None, 0, 0), ("class", "C%1", None, 2, 4), ("function", "get%1", "C%1", 3, 4)], ("os.getcwd", "get%1"), ("import os", None, "named", False)),
+    "rust": ([("use", "unknown", None, 0, 0), ("struct", "S%1", None, 2, 4), ("impl", "unknown", None, 6, 10), ("function", "get%1", None, 7, 9)], [("helper", "get%1")], ("std", "io", "named", False)),
+    "typescript": ([("import", '"./m%1"', None, 0, 0), ("class", "C%1", None, 2, 6), ("method", "run%1", "C%1", 3, 5), ("function", "f%1", None, 8, 10)], [("work", "run%1"), ("go", "f%1")], ("./m%1", "a", "named", True)),
+    "java": ([("import", "import_declaration", None, 0, 0), ("class", "C%1", None, 2, 8), ("field", "n", "C%1", 3, 3), ("method", "get%1", "C%1", 5, 7)], [("calc", "get%1")], ("java.util", "List", "named", False)),
+    "go": ([("import", "import_declaration", None, 2, 2), ("function", "F%1", None, 4, 7)], [("fmt.Println", "F%1")], ("fmt", None, "named", False)),
+    "python": ([("import", "os", None, 0, 0), ("class", "C%1", None, 2, 4), ("function", "get%1", "C%1", 3, 4)], [("os.getcwd", "get%1")], ("import os", None, "named", False)),
 }
 
 
@@ -374,19 +386,19 @@ def _union(rows: list[tuple], names: tuple[str, ...]) -> str:
 
 
 def _extraction(language: str) -> None:
-    symbols, call, imported = EXPECTED[language]
+    symbols, calls, imported = EXPECTED[language]
 
     def run_symbols(spark, sf_dir):
         return symbols_of(extract(_sources(spark, sf_dir, language), False, False)).select("file_path", "kind", "name", "scope", "start_line", "end_line")
 
     def run_calls(spark, sf_dir):
-        return call_edges_of(extract(_sources(spark, sf_dir, language), False, True)).where(F.col("callee_name") == call[0]).select("file_path", "callee_name", F.regexp_replace("caller_symbol_id", "^<source>:", "").alias("caller"))
+        return call_edges_of(extract(_sources(spark, sf_dir, language), False, True)).select("file_path", "callee_name", F.regexp_replace("caller_symbol_id", "^<source>:", "").alias("caller"))
 
     def run_imports(spark, sf_dir):
         return import_edges_of(extract(_sources(spark, sf_dir, language), True, False)).select("file_path", "to_module", "imported_symbol", "import_kind", "resolved")
 
     for f, name, sql in (
-        (run_symbols, "symbols", _union(symbols, ("kind", "name", "scope", "start_line", "end_line"))), (run_calls, "calls", _union([call], ("callee_name", "caller"))),
+        (run_symbols, "symbols", _union(symbols, ("kind", "name", "scope", "start_line", "end_line"))), (run_calls, "calls", _union(calls, ("callee_name", "caller"))),
         (run_imports, "import_edges", _union([imported], ("to_module", "imported_symbol", "import_kind", "resolved"))),
     ):
         f.__name__ = f"extract_{name}_{language}"
@@ -400,3 +412,71 @@ for _l in SOURCES:
 @query("SELECT lang AS language, CAST(count(*) AS BIGINT) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(max(n_chars) AS BIGINT) AS longest FROM documents GROUP BY 1")
 def corpus_totals(spark, sf_dir):
     return c.read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.max("n_chars").cast(LONG).alias("longest"))
+
+
+def _indexed(spark, sf_dir) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_sources(spark, sf_dir, x).withColumn("file_path", F.concat(F.lit(f"{x}/"), "file_path")) for x in SOURCES])
+
+
+#: Of a part's five sources: chunks (boundary symbols), imports and calls.
+_TOLD = {"file_listed": len(SOURCES), "chunk_emitted": 11, "import_edge": len(SOURCES), "call_edge": sum(len(v[1]) for v in EXPECTED.values())}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS event, CAST({v} * count(*) AS BIGINT) AS n FROM part" for k, v in _TOLD.items()) + " UNION ALL SELECT unnest(['job_started', 'job_completed']) AS event, CAST(1 AS BIGINT) AS n")
+def index_job(spark, sf_dir):
+    """A whole job, from the sources to its log: how many events of each kind."""
+    from weftline.engine import Engine
+
+    engine = Engine(spark)
+    options = IndexOptions(chunking=ChunkingOptions("SymbolBoundary", max_lines=0), digest="sha256")
+    log = engine.event_log(engine.index_corpus(_indexed(spark, sf_dir), options), "j")
+    return log.groupBy(F.get_json_object("value", "$.event").alias("event")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {c.DOCUMENTS}, {c.LINES}, {c.BLOCKS}, {c.HEADED}, ha AS (SELECT file_path, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS ha FROM hl0),
+k AS (SELECT blk.*, ha FROM blk JOIN ha USING (file_path) WHERE CAST(regexp_extract(file_path, '(\\d+)', 1) AS BIGINT) % 3 <> 0),
+x AS (SELECT k.file_path, k.id, coalesce(l, []) AS l, CASE WHEN scope IS NULL THEN [] ELSE ['scope: ' || trim(scope)] END AS s, array_to_string(ha[start_line:end_line], chr(10)) || chr(10) AS content FROM k LEFT JOIN imports USING (file_path)),
+y AS (SELECT *, CASE WHEN len(l) + len(s) > 0 THEN array_to_string(list_concat(l, list_concat(CASE WHEN len(l) > 0 AND len(s) > 0 THEN [''] ELSE [] END, s)), chr(10)) || chr(10) || chr(10) ELSE '' END || content AS text FROM x)
+SELECT file_path, id AS symbol_id, 'Symbol' AS chunk_kind, text AS content FROM y UNION ALL SELECT file_path, NULL, 'FullFile', text FROM hd WHERE file_path NOT IN (SELECT file_path FROM k)""")
+def composed_chunks(spark, sf_dir):
+    """Files with and without symbols: only the former get context."""
+    some = c.blocks(spark, sf_dir).where(F.regexp_extract("file_path", r"(\d+)", 1).cast("long") % 3 != 0)
+    out = chunking.chunk_pipeline(c.with_header(spark, sf_dir), some, ChunkingOptions("SymbolBoundary", max_lines=0, overlap_lines=0), "sha256")
+    return out.select("file_path", "symbol_id", "chunk_kind", "content")
+
+
+@query(f"""WITH {c.DOCUMENTS}, {c.LINES}, {c.BLOCKS}, t AS (SELECT file_path, start_line, end_line, 'chk-' || replace(file_path, '/', '_') || '-' || start_line || '-' || end_line AS cid, 2 * b + i AS ord, (['z', 'a'])[i + 1] || id AS symbol_id FROM blk, (VALUES (0), (1)) v(i))
+SELECT file_path, symbol_id, lag(cid) OVER w AS previous_chunk_id, lead(cid) OVER w AS next_chunk_id FROM t WINDOW w AS (PARTITION BY file_path ORDER BY start_line, end_line, ord)""")
+def overlap_ties(spark, sf_dir):
+    """Two symbols of the same lines keep the order in which they come, whatever their ids."""
+    b = c.blocks(spark, sf_dir).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    b = b.withColumn("id", F.concat(F.when(F.col("i") == 0, "z").otherwise("a"), "id")).withColumn("ord", F.col("ord") * 2 + F.col("i")).drop("i")
+    d = c.documents(spark, sf_dir)
+    out = chunking.overlap_chunks(d, chunking.boundary_chunks(d, b).where("chunk_kind = 'Symbol'"), 1, "sha256")
+    return out.select("file_path", "symbol_id", "metadata.previous_chunk_id", "metadata.next_chunk_id")
+
+
+@query("""SELECT '{"protocol_version":"1.0.0","type":"event","event":"file_listed","job_id":"j","payload":{"file":{"path":"doc/' || doc_id || '","size":' || strlen(text) || ',"mtime":7,"hash":"' || sha256(text) || '","language":' || CASE WHEN doc_id % 2 = 0 THEN '"rust"' ELSE 'null' END || '}}}' AS value FROM documents""")
+def file_listed_log(spark, sf_dir):
+    d = c.read(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), F.octet_length("text").cast(LONG).alias("size"), F.lit(7).cast(LONG).alias("mtime"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.when(F.col("doc_id") % 2 == 0, "rust").alias("language"))
+    return events.file_listed(d, "j")
+
+
+@query("""SELECT '{"protocol_version":"1.0.0","type":"event","event":"file_invalid","job_id":null,"payload":{"path":"' || p_partkey || '","reason":"io_error"}}' AS value FROM part""")
+def file_invalid_log(spark, sf_dir):
+    return events.file_invalid(c.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path")))
+
+
+@query("""SELECT '{"protocol_version":"1.0.0","type":"event","event":"capabilities","job_id":null,"payload":{"version":"0.1.0","languages":["rust","typescript","javascript","java","go","python"],"features":["jsonl","incremental_index","git_diff","pause_resume","mcp_compatible"]}}' AS value""")
+def capabilities_log(spark, sf_dir):
+    return events.capabilities(spark)
+
+
+@query("""WITH n AS (SELECT count(*) // 60 AS k FROM events), r AS (SELECT unnest(range(1, k + 1)) AS i FROM n),
+v AS (SELECT '{"protocol_version":"1.0.0","type":"event","event":"pause","job_id":"j","payload":{"output_queue_full":null,"threshold":60,"current_size":60,"backpressure_active":true}}' AS value
+UNION ALL SELECT '{"protocol_version":"1.0.0","type":"event","event":"resume","job_id":"j","payload":{"pause_timeout":null,"threshold":54,"current_size":0,"backpressure_active":false}}')
+SELECT value FROM r CROSS JOIN v""")
+def job_flow_log(spark, sf_dir):
+    """Pauses and resumes in the log of a job as long as the events, a queue of 60."""
+    n = c.read(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"))
+    return events.flow_of(n, FlowOptions(max_queue_size=60), "j")
