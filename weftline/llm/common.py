@@ -17,6 +17,8 @@ BROADCAST_ROWS = 20_000
 RANGE_ROWS = 1000
 #: Rows that one copy of a key's row serves in :func:`join_hot`.
 PER_COPY = 2000
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 2000
 
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
@@ -36,10 +38,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Rows go to Python BATCH_ROWS at a time, so that whole texts and what is made of them stay a few megabytes a worker."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with configured(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        df.write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
@@ -66,17 +71,21 @@ def _clean() -> None:
 
 
 @contextlib.contextmanager
-def shuffle_files_dropped(spark: SparkSession):
-    """Within, Spark deletes a finished query's shuffle files at once instead of at some later garbage collection."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def configured(spark: SparkSession, key: str, value: str):
+    """A setting that holds within."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def shuffle_files_dropped(spark: SparkSession):
+    """Within, Spark deletes a finished query's shuffle files at once instead of at some later garbage collection."""
+    return configured(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -40,9 +40,9 @@ POPULATION = 5
 GATHER, POOL = 64, 2048
 END = 0
 #: Words whose ids a worker remembers, half of them those that were asked for last.
-MEMORY = 800_000
+MEMORY = 600_000
 #: Characters of the texts that are tokenized together, about.
-TOGETHER = 8_000_000
+TOGETHER = 6_000_000
 #: Letters that are letters to every library, in lower case and composed; with ASCII they make up the texts that are looked up.
 _LETTERS = "a-zß-öø-įı-ɏ"
 #: Of the tokenizer's own pre-tokens, for such texts, all but runs of letters.
@@ -67,17 +67,17 @@ class WordTokenizer:
         self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         for token, n in self.tok.get_vocab().items():
             self.last[n] = token.endswith("</w>")
-        self.plain = self._without_rules(path)
+        self.plain = self._without_rules()
         self.runs: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
-    def _without_rules(self, path: str):
-        """The tokenizer without its normalizer and pattern, which leave words of a-z alone; itself where that is not so."""
+    def _without_rules(self):
+        """The tokenizer's model without its normalizer and pattern, which leave words of a-z alone; itself where that is not so."""
         from tokenizers import Tokenizer, pre_tokenizers
 
-        plain = Tokenizer.from_file(path)
-        plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        plain = Tokenizer(self.tok.model)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         words = "a the tokenizer zzzz qxj " + "abcdefghijklmnopqrstuvwxyz" * 3
         same = plain.encode(words, add_special_tokens=False).ids == self.tok.encode(words, add_special_tokens=False).ids
         return plain if same else self.tok
@@ -124,9 +124,11 @@ class WordTokenizer:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        low = pa.array([t.lower() for t in texts], pa.string())
-        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(low, pattern=_MARKS, replacement=r" \1 "))
-        coded = cut.values.dictionary_encode()
+        pool = pa.system_memory_pool()  # gives back what it does not need
+        low = pa.array([t.lower() for t in texts], pa.string(), memory_pool=pool)
+        low = pc.replace_substring_regex(low, pattern=_MARKS, replacement=r" \1 ", memory_pool=pool)
+        cut = pc.ascii_split_whitespace(low, memory_pool=pool)
+        coded = pc.dictionary_encode(cut.values, memory_pool=pool)
         words = coded.dictionary.to_pylist()
         known = self._of(words)
         place, ends = coded.indices.to_numpy(), cut.offsets.to_numpy()
