@@ -316,3 +316,41 @@ def test_tools_and_notifications(spark, tmp_path):
     assert [t["name"] for t in tool_schemas()] == ["list_languages", "index_path", "stop", "status"] and tool_schemas()[1]["inputSchema"]["properties"]["path"]["type"] == "string"
     lines = Engine(spark).rpc_lines(json.dumps({"id": 1, "method": "index_path", "params": {"path": str(tmp_path)}}))
     assert [x.get("method") for x in lines] == ["indexing/start", "indexing/file", "indexing/complete", None] and lines[2]["params"] == {"files": 1} and lines[3]["result"]["status"] == "started"
+
+
+def test_few_input_tasks_do_not_bound_extraction(spark):
+    """A corpus of one task, as a small Parquet file is, is parsed by several, whose number does not follow from the file's bytes."""
+    from pyspark.sql import functions as F
+
+    from weftline.extract.registry import extract, symbols_of
+
+    corpus = spark.range(4_000, numPartitions=1).select(F.concat(F.lit("f"), "id").alias("file_path"), F.lit("fn f() {}\n").alias("text"), F.lit("rust").alias("language"))
+    found = extract(corpus, False, False)
+    sizes = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(sizes) >= 4 * spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 1_000
+    assert found.columns == ["file_path", "language", "symbols"] and symbols_of(found).count() == 4_000
+    assert extract(corpus, True, False, symbols=False).columns == ["file_path", "language", "imports"]
+
+
+def test_one_parse_a_text(monkeypatch):
+    """Symbols, imports and calls of a text come from one parse, and one blanked text."""
+    import ast
+
+    from weftline.extract import braces
+
+    seen, parse, find = [], ast.parse, braces.TypeScript._ITEM
+    monkeypatch.setattr(ast, "parse", lambda text: seen.append("python") or parse(text))
+    monkeypatch.setattr(braces.TypeScript, "_ITEM", type("Counted", (), {"finditer": lambda self, text: seen.append("typescript") or find.finditer(text)})())
+    assert all(extract_text("python", "import os\ndef one_parse(): os.getcwd()\n"))
+    assert all(extract_text("typescript", 'import { a } from "one";\nfunction f() { a(1); }\n'))
+    assert seen == ["python", "typescript"]
+
+
+def test_import_rules_stay_small(spark):
+    """Parts of a statement are computed once; written out they grew the plan, and what each task compiles, to hundreds of kilobytes."""
+    from pyspark.sql import functions as F
+
+    from weftline.functions.imports import normalize_import
+
+    plan = spark.range(1).select(normalize_import(F.lit("use a;"), F.col("id").cast("string")).alias("e"))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 20_000, len(plan)

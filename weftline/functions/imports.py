@@ -31,15 +31,19 @@ def _relative(c: Column) -> Column:
 
 
 def rust(raw: Column) -> Column:
-    t = trim(raw)
-    again = F.startswith(t, F.lit("pub"))
-    body = _cut_semicolons(strip_prefix(F.when(again, strip_prefix(t, "pub ")).otherwise(t), "use "))
+    return let(trim(raw), lambda t: let(F.startswith(t, F.lit("pub")), lambda again: let(_rust_body(t, again), lambda body: _rust(raw, body, again))))
+
+
+def _rust_body(t: Column, again: Column) -> Column:
+    return let(F.when(again, strip_prefix(t, "pub ")).otherwise(t), lambda use: _cut_semicolons(strip_prefix(use, "use ")))
+
+
+def _rust(raw: Column, body: Column, again: Column) -> Column:
     local = F.lit(False)
     for part in ("crate::", "self::", "super::", "./"):
         local = local | F.contains(raw, F.lit(part))
-    before = trim(_last(body, " as ", 1))
     glob = _edge(trim(F.regexp_replace(body, r"::\*$", "")), None, None, "namespace", local)
-    named = _edge(before, F.element_at(F.split(before, "::", -1), -1), trim(_last(body, " as ", 2)), "named", local)
+    named = let(trim(_last(body, " as ", 1)), lambda before: _edge(before, F.element_at(F.split(before, "::", -1), -1), trim(_last(body, " as ", 2)), "named", local))
     kind = F.when(again, "reexport").otherwise("named")
     path = _edge(_last(body, "::", 1), _last(body, "::", 2), None, kind, local)
     return F.when(F.endswith(body, F.lit("::*")), glob).when(F.contains(body, F.lit(" as ")), named).when(F.contains(body, F.lit("::")), path).otherwise(_edge(body, None, None, kind, local))
@@ -87,14 +91,16 @@ def _clause(raw: Column, content: Column, left: Column, module: Column) -> Colum
 
 
 def java(raw: Column) -> Column:
-    body = strip_prefix(_cut_semicolons(strip_prefix(trim(raw), "import ")), "static ")
+    return let(_cut_semicolons(strip_prefix(trim(raw), "import ")), lambda x: let(strip_prefix(x, "static "), _java))
+
+
+def _java(body: Column) -> Column:
     dotted = F.contains(body, F.lit("."))
     return F.when(dotted, _edge(_last(body, r"\.", 1), _last(body, r"\.", 2), None, "named", F.lit(False))).otherwise(_edge(body, None, None, "named", F.lit(False)))
 
 
 def go(raw: Column) -> Column:
-    module = _unquote(_cut_semicolons(strip_prefix(trim(raw), "import ")), '"`')
-    return _edge(module, None, None, "named", _relative(module))
+    return let(_cut_semicolons(strip_prefix(trim(raw), "import ")), lambda x: let(_unquote(x, '"`'), lambda module: _edge(module, None, None, "named", _relative(module))))
 
 
 def normalize_import(raw: Column, language: Column) -> Column:

@@ -392,10 +392,10 @@ def _extraction(language: str) -> None:
         return symbols_of(extract(_sources(spark, sf_dir, language), False, False)).select("file_path", "kind", "name", "scope", "start_line", "end_line")
 
     def run_calls(spark, sf_dir):
-        return call_edges_of(extract(_sources(spark, sf_dir, language), False, True)).select("file_path", "callee_name", F.regexp_replace("caller_symbol_id", "^<source>:", "").alias("caller"))
+        return call_edges_of(extract(_sources(spark, sf_dir, language), False, True, symbols=False)).select("file_path", "callee_name", F.regexp_replace("caller_symbol_id", "^<source>:", "").alias("caller"))
 
     def run_imports(spark, sf_dir):
-        return import_edges_of(extract(_sources(spark, sf_dir, language), True, False)).select("file_path", "to_module", "imported_symbol", "import_kind", "resolved")
+        return import_edges_of(extract(_sources(spark, sf_dir, language), True, False, symbols=False)).select("file_path", "to_module", "imported_symbol", "import_kind", "resolved")
 
     for f, name, sql in (
         (run_symbols, "symbols", _union(symbols, ("kind", "name", "scope", "start_line", "end_line"))), (run_calls, "calls", _union(calls, ("callee_name", "caller"))),
