@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import BOUNDARY_KINDS, qualified_name
+from weftline.operators.dealing import dealt, tasks
 
 
 
@@ -36,8 +37,9 @@ def normalize_symbols(symbols: DataFrame, language: Column | None = None) -> Dat
     )
 
 
-def symbol_index(symbols: DataFrame) -> DataFrame:
-    """One symbol per file and id: of repeated ids the last counts."""
+def symbol_index(symbols: DataFrame, n_tasks: int | None = None) -> DataFrame:
+    """One symbol per file and id: of repeated ids the last counts. By default as many tasks as the files that are read ask for."""
+    symbols = dealt(symbols, n_tasks or tasks(symbols), "file_path")
     last = F.row_number().over(Window.partitionBy("file_path", "id").orderBy(F.col("ord").desc()))
     return symbols.withColumn("nth", last).where("nth = 1").drop("nth")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.dealing import dealt, tasks
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +29,8 @@ def line_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as symbols of their order: as many lines as the quantity, one after the other, 0-based."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     q = F.col("l_quantity").cast("int")
-    d = read(spark, sf_dir, "lineitem").withColumn("ord", F.row_number().over(w)).withColumn("upto", F.sum(q).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    items = read(spark, sf_dir, "lineitem")
+    d = dealt(items, tasks(items), "l_orderkey").withColumn("ord", F.row_number().over(w)).withColumn("upto", F.sum(q).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     n = F.col("l_partkey")
     return d.select(
