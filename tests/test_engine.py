@@ -354,3 +354,29 @@ def test_import_rules_stay_small(spark):
 
     plan = spark.range(1).select(normalize_import(F.lit("use a;"), F.col("id").cast("string")).alias("e"))._jdf.queryExecution().analyzed().toString()
     assert len(plan) < 20_000, len(plan)
+
+
+def test_tasks_follow_the_input(spark, tmp_path):
+    """Steps have a number of tasks in proportion to their rows and bytes, which Spark does not join by their compressed bytes."""
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    from weftline.operators.dealing import BYTES, ROWS, source_bytes, tasks
+    from weftline.operators.symbols import symbol_index
+
+    spark.range(3_000_000).withColumn("x", F.rand(1)).coalesce(1).write.parquet(str(tmp_path / "big"))
+    big = spark.read.parquet(str(tmp_path / "big"))
+    assert source_bytes(big) > 16 * BYTES / 4 and tasks(big.unionByName(big), rows=0) == max(16, -(-2 * source_bytes(big) // BYTES)) and tasks(big, rows=100 * ROWS) == 100
+    assert source_bytes(spark.createDataFrame([(1,)], "a int")) < BYTES
+    n = spark.range(2_000).select(F.concat(F.lit("f"), F.col("id") % 9).alias("file_path"), F.col("id").cast("string").alias("id"), F.lit(0).alias("ord"))
+    assert symbol_index(n).rdd.getNumPartitions() >= 16
+    plan = entry.queries()["symbol_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_texts_are_not_broadcast(spark):
+    """A plan that makes texts of a few columns looks small, whatever it makes."""
+    import __spark_entry__ as entry
+
+    c = entry.queries()["composed_chunks"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in c._jdf.queryExecution().executedPlan().toString()

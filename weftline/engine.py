@@ -16,6 +16,7 @@ from weftline.extract.registry import call_edges_of, extract, import_edges_of, s
 from weftline.functions.text import LANGUAGE_LIST, language_of
 from weftline.operators import events
 from weftline.operators.chunking import Strategy, chunk_pipeline
+from weftline.operators.dealing import dealt, tasks
 from weftline.operators.symbols import boundary_symbols
 from weftline.options import ChunkingOptions, FlowOptions, IndexOptions
 from weftline.scratch import written
@@ -99,10 +100,11 @@ class Engine:
         language = F.coalesce("language", language_of(F.col("file_path"), False)) if "language" in corpus.columns else language_of(F.col("file_path"), False)
         corpus = corpus.withColumn("language", language).where(F.col("language").isNotNull())
         got = written(extract(corpus, options.extract_imports, options.extract_calls), "extracted")
-        symbols = symbols_of(got)
-        chunks = written(chunk_pipeline(corpus, boundary_symbols(symbols, options.line_base), options.chunking, options.digest, self.strategies), "chunks")
+        symbols, n = symbols_of(got), tasks(corpus, got, rows=got.count())  # rows of what was written are read from its footers
+        bounds = boundary_symbols(dealt(symbols, n, "file_path"), options.line_base)
+        chunks = written(chunk_pipeline(corpus, bounds, options.chunking, options.digest, self.strategies, n), "chunks")
         listed = files if files is not None else corpus.select(F.col("file_path").alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.lit("").alias("hash"), "language")
-        return IndexResult(events.files_with_chunks(listed, chunks), symbols, import_edges_of(got) if options.extract_imports else None, call_edges_of(got) if options.extract_calls else None, chunks)
+        return IndexResult(events.files_with_chunks(listed, chunks, n), symbols, import_edges_of(got) if options.extract_imports else None, call_edges_of(got) if options.extract_calls else None, chunks)
 
     def index_path(self, path: str, options: IndexOptions = IndexOptions()) -> IndexResult:
         found = written(scan(self.spark, path, options.scan, options.digest), "scanned")

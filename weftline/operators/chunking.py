@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import digest, line_range, lines, n_lines, trim
+from weftline.operators.dealing import dealt, tasks
 from weftline.operators.folds import ordered_fold
 from weftline.operators.symbols import symbol_index
 from weftline.options import ChunkingOptions
@@ -69,11 +70,12 @@ def full_file_chunks(files: DataFrame, prefix: str = "chk-", kind: str = "md5",
 
 
 def _file_lines(files: DataFrame) -> DataFrame:
-    return files.select("file_path", "language", lines(F.col("text")).alias("all_lines"))
+    """Never broadcast: the size of texts that a plan makes from a few columns is not known."""
+    return files.select("file_path", "language", lines(F.col("text")).alias("all_lines")).hint("merge")
 
 
 def _without(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return files.join(symbols.select("file_path").distinct(), "file_path", "left_anti")
+    return files.join(symbols.select("file_path").distinct().hint("merge"), "file_path", "left_anti")
 
 
 def _path_id(*parts: Column) -> Column:
@@ -227,16 +229,17 @@ def leading_imports(text: Column) -> Column:
     return F.when(block != "", once).otherwise(F.array().cast("array<string>"))
 
 
-def context_chunks(files: DataFrame, chunks: DataFrame, symbols: DataFrame, kind: str = "blake3") -> DataFrame:
+def context_chunks(files: DataFrame, chunks: DataFrame, symbols: DataFrame, kind: str = "blake3", n_tasks: int | None = None) -> DataFrame:
     """Chunks with their file's imports and their symbols' scopes before the content; ids and lines stay. Files without symbols have no
     context, and their chunks stay as they are."""
-    found = symbol_index(symbols).where("scope is not null").select("file_path", F.col("id").alias("sid"), trim(F.col("scope")).alias("scope"))
+    found = symbol_index(symbols, n_tasks).where("scope is not null").select("file_path", F.col("id").alias("sid"), trim(F.col("scope")).alias("scope"))
     own = ["file_path", "id", "start_line", "end_line", "symbol_ids"]  # two symbols of the same lines make two chunks of one id
     named = chunks.select(*own, F.explode(F.array_distinct(F.concat("symbol_ids", F.filter(F.array("symbol_id"), lambda x: x.isNotNull())))).alias("sid"))
-    scopes = named.join(found, ["file_path", "sid"]).groupBy(*own).agg(F.sort_array(F.collect_set("scope")).alias("scopes"))
-    imports = files.join(symbols.select("file_path").distinct(), "file_path", "left_semi").select("file_path", leading_imports(F.col("text")).alias("imports"))
+    named, found = dealt(named, n_tasks, "file_path", "sid"), dealt(found, n_tasks, "file_path", "sid").hint("merge")
+    scopes = dealt(named.join(found, ["file_path", "sid"]), n_tasks, *own).groupBy(*own).agg(F.sort_array(F.collect_set("scope")).alias("scopes"))
+    imports = files.join(symbols.select("file_path").distinct().hint("merge"), "file_path", "left_semi").select("file_path", leading_imports(F.col("text")).alias("imports"))
     nothing = F.array().cast("array<string>")
-    c = chunks.join(imports, "file_path", "left").join(scopes, own, "left").withColumns({"scopes": F.coalesce("scopes", nothing), "imports": F.coalesce("imports", nothing)})
+    c = dealt(chunks.join(imports.hint("merge"), "file_path", "left"), n_tasks, *own).join(scopes.hint("merge"), own, "left").withColumns({"scopes": F.coalesce("scopes", nothing), "imports": F.coalesce("imports", nothing)})
     scope_lines = F.transform("scopes", lambda s: F.concat(F.lit("scope: "), s))
     between = F.when((F.size("imports") > 0) & (F.size("scopes") > 0), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     all_ = F.concat("imports", between, scope_lines)
@@ -256,15 +259,18 @@ STRATEGIES: dict[str, Strategy] = {
 }
 
 
-def chunk_pipeline(files: DataFrame, symbols: DataFrame | None, options: ChunkingOptions = ChunkingOptions(), kind: str = "blake3", strategies: Mapping[str, Strategy] | None = None) -> DataFrame:
+def chunk_pipeline(files: DataFrame, symbols: DataFrame | None, options: ChunkingOptions = ChunkingOptions(), kind: str = "blake3", strategies: Mapping[str, Strategy] | None = None, n_tasks: int | None = None) -> DataFrame:
     """Base strategy, then overlap, then context for files that have symbols, then token counts if a tokenizer is named.
 
-    ``strategies`` are strategies of the caller's own: name to a function of files, symbols, the line limit and the digest."""
+    ``strategies`` are strategies of the caller's own: name to a function of files, symbols, the line limit and the digest. All steps
+    are dealt to ``n_tasks``, by default in proportion to the files that are read."""
     if symbols is None:
         symbols = files.sparkSession.createDataFrame([], "file_path string, ord int, id string, name string, kind string, scope string, start_line int, end_line int, signature string")
+    n = n_tasks or tasks(files, symbols)
+    files, symbols = dealt(files, n, "file_path"), dealt(symbols, n, "file_path")
     base = {**STRATEGIES, **(strategies or {})}[options.strategy]
-    out = overlap_chunks(files, base(files, symbols, options.max_lines, kind), options.overlap_lines, kind)
-    out = context_chunks(files, out, symbols, kind) if options.include_context else out
+    out = overlap_chunks(files, dealt(base(files, symbols, options.max_lines, kind), n, "file_path"), options.overlap_lines, kind)
+    out = context_chunks(files, out, symbols, kind, n) if options.include_context else out
     out = with_token_counts(out, options.tokenizer) if options.token_counting and options.tokenizer else out
     return out.select(*CHUNKS)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import LANGUAGE_LIST, chunk_kind
+from weftline.operators.dealing import dealt
 from weftline.options import FlowOptions
 from weftline.schemas import PROTOCOL_VERSION
 
@@ -112,9 +113,10 @@ def write_jsonl(log: DataFrame, path: str) -> None:
     log.write.mode("append").text(path)
 
 
-def files_with_chunks(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def files_with_chunks(files: DataFrame, chunks: DataFrame, n_tasks: int | None = None) -> DataFrame:
     """Files that have a chunk, once each."""
-    return files.join(chunks.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").dropDuplicates(["path"])
+    there = dealt(chunks.select(F.col("file_path").alias("path")), n_tasks, "path").distinct().hint("merge")
+    return dealt(files, n_tasks, "path").join(there, "path", "left_semi").dropDuplicates(["path"])
 
 
 def unchanged_removed(files: DataFrame, snapshot: DataFrame) -> DataFrame:
